@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import WORD, stage, text_or_empty
@@ -69,25 +69,25 @@ def source_plan(sizes: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     return s.select("sid", "source", "source_size", target.alias("target"))
 
 
-def permuted(k: Column, n: Column, key: Column) -> Column:
-    """A pseudorandom permutation of [0, n), one for each key.
+def keyed(df: DataFrame, n: str, key: str) -> DataFrame:
+    """Add what :func:`permuted` needs of a key and its [0, n): the rounds' offsets, and the power of two that is at most n."""
+    df = df.withColumn("bits", F.expr(f"CAST(length(bin({n})) - 1 AS INT)")).withColumn("mask", F.expr("shiftleft(1L, bits) - 1"))
+    return df.withColumns({f"offset{r}": F.expr(f"pmod(xxhash64({key}, {r}), {n})") for r in range(len(ROUND_MULTIPLIERS))})
 
-    Each round rotates [0, n) by a key-dependent offset, then scrambles the part below the largest
-    power of two that is at most n with an odd multiplication and a shifted exclusive or. Every step is a bijection.
+
+def permuted(df: DataFrame, k: str, n: str, out: str) -> DataFrame:
+    """Add out, a pseudorandom permutation of [0, n) at k.
+
+    Each round rotates [0, n) by its offset, then scrambles the part below the largest power of two that is at
+    most n with an odd multiplication and a shifted exclusive or. Every step is a bijection. Each is a column of its
+    own, so that the expression doesn't grow with the rounds.
     """
-    one = F.lit(1).cast("long")
-    bits = F.floor(F.log2(n.cast("double"))).cast("int")
-    bits = F.when(F.call_function("shiftleft", one, bits) > n, bits - 1).otherwise(bits)
-    m = F.call_function("shiftleft", one, bits)
-    half = (F.floor(bits / 2) + 1).cast("int")
-    x = k
+    df = df.withColumn(out, F.col(k))
     for r, odd in enumerate(ROUND_MULTIPLIERS):
-        offset = F.pmod(F.xxhash64(key, F.lit(r)), n)
-        x = (x + offset) % n
-        low = x.bitwiseAND(m - 1)
-        mult = (low.bitwiseAND(0xFFFFFFFF) * F.lit(odd & 0x7FFFFFFF).cast("long")).bitwiseAND(m - 1)
-        x = F.when(x < m, mult.bitwiseXOR(F.call_function("shiftright", mult, half))).otherwise(x)
-    return x
+        df = df.withColumn("at", F.expr(f"({out} + offset{r}) % {n}"))
+        df = df.withColumn("low", F.expr(f"((at & mask & 4294967295L) * {odd & 0x7FFFFFFF}L) & mask"))
+        df = df.withColumn(out, F.expr("IF(at <= mask, low ^ shiftright(low, CAST(bits / 2 AS INT) + 1), at)"))
+    return df
 
 
 def packed(sizes: DataFrame, plan: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
@@ -118,23 +118,22 @@ def slots(plan: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     explodes with a shuffle between, so a source of any size is spread over all tasks.
     """
     b = F.lit(config.block_words).cast("long")
-    p = plan.filter("source_size > 0").withColumn("words", F.round("target").cast("long"))
-    p = p.withColumn("blocks", F.ceil(F.col("source_size") / b).cast("long")).withColumn("full", F.floor(F.col("source_size") / b).cast("long"))
-    p = p.withColumn("epochs", F.floor(F.col("words") / F.col("source_size")).cast("long"))
-    rest = F.col("words") - F.col("epochs") * F.col("source_size")
-    p = p.withColumn("slots", F.col("epochs") * F.col("blocks") + F.ceil(rest / b).cast("long")).filter("slots > 0")
+    p = plan.filter("source_size > 0").withColumn("words", F.round("target").cast("long")).filter("words > 0")
     shards = F.greatest(F.lit(1).cast("long"), F.ceil(F.sum("words").over(Window.partitionBy(F.lit(0))) / config.shard_words).cast("long"))
-    p = p.withColumn("shards", shards)
+    p = p.withColumn("shards", shards).withColumn("full", F.greatest(F.lit(1).cast("long"), F.floor(F.col("source_size") / b).cast("long")))
+    last = F.ceil(F.col("words") / F.col("source_size")).cast("long") - 1
+    p = p.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    p = p.withColumn("due", F.least("source_size", F.col("words") - F.col("epoch") * F.col("source_size")))
+    p = p.withColumn("slots", F.ceil(F.col("due") / b).cast("long")).withColumn("key", F.xxhash64("sid", "epoch", F.lit(config.seed)))
+    p = keyed(p, "full", "key")
     p = p.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(config.slots_per_row).cast("long"))))
-    p = p.repartition("sid", "from")
-    s = p.withColumn("slot", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + config.slots_per_row, F.col("slots")) - 1)))
-    s = s.withColumn("epoch", F.floor(F.col("slot") / F.col("blocks")).cast("long")).withColumn("k", F.col("slot") % F.col("blocks"))
-    key = F.xxhash64("sid", "epoch", F.lit(config.seed))
-    index = F.when(F.col("k") < F.col("full"), permuted(F.col("k"), F.greatest(F.col("full"), F.lit(1)), key)).otherwise(F.col("k"))
-    length = F.least(b, F.col("source_size") - F.col("k") * b)
-    left = F.col("words") - F.col("epoch") * F.col("source_size") - F.col("k") * b
-    shard = F.pmod(F.xxhash64("sid", "slot", F.lit(config.seed + 1)), F.col("shards"))
-    return s.select(shard.alias("shard"), "sid", "epoch", index.alias("block"), F.greatest(F.lit(0), F.least(length, left)).alias("n_words"))
+    p = p.repartition("sid", "epoch", "from")
+    s = p.withColumn("k", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + config.slots_per_row, F.col("slots")) - 1)))
+    s = permuted(s, "k", "full", "shuffled")
+    # The last, shorter block (or the only one) comes last in its epoch.
+    whole = (F.col("k") + 1) * b <= F.col("source_size")
+    shard = F.pmod(F.xxhash64("key", "k", F.lit(config.seed + 1)), F.col("shards"))
+    return s.select(shard.alias("shard"), "sid", "epoch", F.when(whole, F.col("shuffled")).otherwise(F.col("k")).alias("block"), F.least(b, F.col("due") - F.col("k") * b).alias("n_words"))
 
 
 def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
