@@ -35,6 +35,8 @@ SCRAMBLE = 0xD6E8FEB86659FD93
 PIECE = 1 << 19
 HOT = 4096
 CHUNK = 1 << 22
+#: Snippets that a task merges at a time.
+AT_ONCE = 1 << 19
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -103,9 +105,35 @@ def pieces(text: bytes) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, text) -> a row per different snippet of the batch, with all its places in the batch."""
+    """(row, text) -> snippets, equal ones of up to AT_ONCE at a time merged.
+
+    Of equal ones the first goes on to meet those of other tasks (salt 0). The others are known to be repeated; they
+    go in a row of their own, with a salt of its own, so that what later meets at one key is one place per AT_ONCE
+    snippets, whatever the number of copies.
+    """
+
+    def merged(found: list[tuple], turn: int) -> pa.RecordBatch:
+        gram, whole, row, first, n, place = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((first, row, whole, gram))
+        gram, whole = gram[order], whole[order]
+        new = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1])]))
+        end = np.append(new[1:], len(order))
+        several = np.flatnonzero(end - new > 1)
+        ends = np.concatenate([new + 1, end[several]])
+        starts = np.concatenate([new, new[several] + 1])
+        places = pa.StructArray.from_arrays([pa.array(row[order]), pa.array(first[order])], names=["row", "start"])
+        flat = np.concatenate([new, *(np.arange(a, b) for a, b in zip(new[several] + 1, end[several], strict=True))])
+        at = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(ends - starts)), pa.int32()), places.take(pa.array(flat)))
+        one = order[starts]
+        salt = np.zeros(len(starts), dtype=np.int64)
+        salt[len(new) :] = row[one[len(new) :]] ^ turn | 1
+        copies = np.concatenate([end - new, (end - new)[several]])
+        columns = [gram[starts].view(np.int64), whole[starts].view(np.int64), salt, n[one].astype(np.int32), place[one].astype(np.int32), copies]
+        return pa.record_batch([*(pa.array(c) for c in columns), at], names=["gram", "whole", "salt", "n", "place", "copies", "at"])
+
+    found: list[tuple] = []
+    held = turn = 0
     for batch in batches:
-        found = []
         for row, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
             for k, piece in pieces(text.as_py()):
                 prefix = prefix_hashes(piece)
@@ -113,19 +141,12 @@ def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 place = (a - first).astype(np.uint64)
                 whole = span_hash(prefix, first, last + LENGTH) * np.uint64(SCRAMBLE) + place * np.uint64(BASE)
                 found.append((gram, whole, np.full(len(a), row), first + k, last - first + 1, a - first))
-        if not found:
-            continue
-        gram, whole, row, first, n, place = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((whole, gram))
-        gram, whole = gram[order], whole[order]
-        new = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1])]))
-        places = pa.StructArray.from_arrays([pa.array(row[order]), pa.array(first[order])], names=["row", "start"])
-        at = pa.ListArray.from_arrays(pa.array(np.append(new, len(order)), pa.int32()), places)
-        one = order[new]
-        yield pa.record_batch(
-            [pa.array(gram[new].view(np.int64)), pa.array(whole[new].view(np.int64)), pa.array(n[one].astype(np.int32)), pa.array(place[one].astype(np.int32)), at],
-            names=["gram", "whole", "n", "place", "at"],
-        )
+                held += len(a)
+                if held >= AT_ONCE:
+                    yield merged(found, turn)
+                    found, held, turn = [], 0, turn + 2
+    if found:
+        yield merged(found, turn)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,13 +322,15 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
     """rows (row, text) -> (row, start, end): byte spans that cover all repeated windows; spans may overlap."""
-    found = rows.mapInArrow(_snippets, "gram long, whole long, n int, place int, at array<struct<row:long,start:long>>")
-    by_whole = stage(found.groupBy("gram", "whole").agg(F.first("n").alias("n"), F.first("place").alias("place"), F.min(F.col("at")[0]).alias("one"), F.sum(F.size("at")).alias("copies"), F.count(F.lit(1)).alias("batches"), F.collect_list("at").alias("at")), "snippets")
-    settled = by_whole.filter("copies > 1").select("n", F.explode(F.flatten("at")).alias("x"))
+    found = rows.mapInArrow(_snippets, "gram long, whole long, salt long, n int, place int, copies long, at array<struct<row:long,start:long>>")
+    merged = found.groupBy("gram", "whole", "salt").agg(F.first("n").alias("n"), F.first("place").alias("place"), F.min(F.col("at")[0]).alias("one"), F.sum("copies").alias("copies"), F.flatten(F.collect_list("at")).alias("at"))
+    merged = stage(merged, "snippets")
+    settled = merged.filter("copies > 1").select("n", F.explode("at").alias("x"))
     settled = settled.select("x.row", "x.start", (F.col("x.start") + F.col("n") - 1 + LENGTH).alias("end"))
 
+    by_whole = merged.filter("salt = 0").select("gram", "n", "place", "one", "copies")
     several = by_whole.groupBy("gram").agg(F.count(F.lit(1)).alias("different")).filter("different > 1")
-    wanted = by_whole.select("gram", "n", "place", "one", "copies").join(several, "gram")
+    wanted = by_whole.join(several, "gram")
     wanted = wanted.select(F.col("one.row").alias("row"), F.struct("gram", F.col("one.start").alias("start"), "n", "place", (F.col("copies") == 1).alias("open"), (F.col("different") > hot).alias("hot")).alias("w"))
     of_row = wanted.groupBy("row").agg(F.collect_list("w").alias("wanted"))  # at most the snippets of a text
     cut = rows.join(of_row, "row").select("row", "text", "wanted").mapInArrow(_cut, "gram long, row long, start long, n int, place int, open boolean, bytes binary, hashes array<long>")
