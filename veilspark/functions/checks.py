@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +16,11 @@ INN12_OFFICIAL = (3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8)
 SNILS = (9, 8, 7, 6, 5, 4, 3, 2, 1)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, however often body reads it (a bound variable in place of copies of the expression)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
@@ -33,29 +38,34 @@ def digit(d: Column, i: int) -> Column:
 
 
 def inn10(d: Column) -> Column:
-    return F.coalesce(d.rlike("^[0-9]{10}$") & (weighted(d, INN10) % 11 % 10 == digit(d, 9)), F.lit(False))
+    return let(d, lambda d: F.coalesce(d.rlike("^[0-9]{10}$") & (weighted(d, INN10) % 11 % 10 == digit(d, 9)), F.lit(False)))
 
 
 def inn12(d: Column, official: bool = False) -> Column:
-    first = weighted(d, INN12_FIRST) % 11 % 10 == digit(d, 10)
-    second = (weighted(d, INN12_OFFICIAL) if official else weighted(d, INN12_SECOND, 1)) % 11 % 10 == digit(d, 11)
-    return F.coalesce(d.rlike("^[0-9]{12}$") & first & second, F.lit(False))
+    def check(d: Column) -> Column:
+        first = weighted(d, INN12_FIRST) % 11 % 10 == digit(d, 10)
+        second = (weighted(d, INN12_OFFICIAL) if official else weighted(d, INN12_SECOND, 1)) % 11 % 10 == digit(d, 11)
+        return F.coalesce(d.rlike("^[0-9]{12}$") & first & second, F.lit(False))
+
+    return let(d, check)
 
 
 def inn(d: Column, official: bool = False) -> Column:
-    return inn10(d) | inn12(d, official)
+    return let(d, lambda d: inn10(d) | inn12(d, official))
 
 
 def snils(d: Column) -> Column:
     """Eleven digits with the right control number; controls 00 and leading 000 are never right."""
-    control = weighted(d, SNILS) % 101
-    control = F.when(control == 100, 0).otherwise(control)
-    known = (F.substring(d, 10, 2) != "00") & (F.substring(d, 1, 3) != "000")
-    return F.coalesce(d.rlike("^[0-9]{11}$") & known & (control == F.substring(d, 10, 2).try_cast("int")), F.lit(False))
+    def check(d: Column) -> Column:
+        # A remainder of 100 counts as 0, as does 0 itself; neither is a control number.
+        known = (F.substring(d, 10, 2) != "00") & (F.substring(d, 1, 3) != "000")
+        return F.coalesce(d.rlike("^[0-9]{11}$") & known & (weighted(d, SNILS) % 101 == F.substring(d, 10, 2).try_cast("int")), F.lit(False))
+
+    return let(d, check)
 
 
 def luhn(d: Column) -> Column:
-    return F.coalesce(d.rlike("^[0-9]{12,19}$") & F.call_function("luhn_check", d), F.lit(False))
+    return let(d, lambda d: F.coalesce(d.rlike("^[0-9]{12,19}$") & F.call_function("luhn_check", d), F.lit(False)))
 
 
 def iban(s: Column) -> Column:

@@ -58,14 +58,15 @@ def resolve(spans: Column) -> Column:
     """Resolve conflicts: in order of start, a span that overlaps the last kept one replaces it if it ranks strictly higher
     (priority, confidence, length), and else goes. The input is in order of start, so only the last kept span can overlap."""
     keyed = F.transform(spans, lambda e: F.struct(e["start"].alias("s"), (-priority(e["label"])).alias("p"), (-e["confidence"]).alias("c"), (e["start"] - e["end"]).alias("n"), e.alias("e")))
-    ordered = F.transform(F.array_sort(keyed), lambda x: x["e"])
+    none = F.filter(keyed, lambda x: F.lit(False))
+    rank = lambda x: F.struct(x["p"], x["c"], x["n"])
 
-    def step(kept: Column, e: Column) -> Column:
-        last = F.element_at(kept, -1)
-        clear = (F.size(kept) == 0) | (F.try_element_at(kept, F.lit(-1))["end"] <= e["start"])
-        return F.when(clear, F.concat(kept, F.array(e))).when(_rank(e) > _rank(last), F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(e))).otherwise(kept)
+    def step(kept: Column, x: Column) -> Column:
+        last = F.try_element_at(kept, F.lit(-1))
+        clear = (F.size(kept) == 0) | (last["e"]["end"] <= x["s"])
+        return F.when(clear, F.concat(kept, F.array(x))).when(rank(x) < rank(last), F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(x))).otherwise(kept)
 
-    return F.aggregate(ordered, empty(), step)
+    return F.aggregate(F.array_sort(keyed), none, step, lambda kept: F.transform(kept, lambda x: x["e"]))
 
 
 def union_spans(spans: Column, text: Column) -> Column:

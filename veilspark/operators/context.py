@@ -35,19 +35,21 @@ ANTI = {
     "DATE_TIME": ("инн", "паспорт", "снилс"),
 }
 PENALTY = 0.25
+RULED = frozenset("PERSON ORGANIZATION LOCATION RU_PASSPORT RU_INT_PASSPORT PHONE_NUMBER TG_CHAT_ID RU_INN RU_SNILS RU_DRIVER_LICENSE DATE_TIME".split())
 
 
 def has_any(words: Column, keys: tuple[str, ...]) -> Column:
-    found = F.lit(False)
-    for k in keys:
-        found = found | F.contains(words, F.lit(k))
-    return found
+    """One search for all keys, which are literals."""
+    return words.rlike("|".join(rf"\Q{k}\E" for k in keys)) if keys else F.lit(False)
 
 
 def _rules(label: str, text: Column, e: Column) -> Column:
     """The rules that reject a span of this label."""
-    frag = F.trim(e["text"])
-    d, near = checks.digits(frag), window(text, e)
+    bound = F.struct(F.trim(e["text"]).alias("frag"), checks.digits(e["text"]).alias("d"), window(text, e).alias("near"))
+    return checks.let(bound, lambda x: _bound_rules(label, e, x["frag"], x["d"], x["near"]))
+
+
+def _bound_rules(label: str, e: Column, frag: Column, d: Column, near: Column) -> Column:
     n = F.length(d)
     bad = F.lit(False)
     if label in ("PERSON", "ORGANIZATION", "LOCATION"):
@@ -77,7 +79,7 @@ def _rules(label: str, text: Column, e: Column) -> Column:
 
 def rejected(label: str, text: Column, e: Column) -> Column:
     header = F.trim(e["text"]).startswith("===") | F.contains(e["text"], F.lit("\n==="))
-    return header | F.coalesce(_rules(label, text, e), F.lit(False))
+    return header | F.coalesce(_rules(label, text, e), F.lit(False)) if label in RULED else header
 
 
 def rescored(label: str, text: Column, e: Column, boost: float) -> Column:
@@ -85,9 +87,8 @@ def rescored(label: str, text: Column, e: Column, boost: float) -> Column:
     score = e["confidence"]
     raising, lowering = CONTEXT.get(label), ANTI.get(label)
     if raising or lowering:
-        near = window(text, e)
-        up = has_any(near, raising or ())
-        score = F.when(up, F.least(score + boost, F.lit(1.0))).when(has_any(near, lowering or ()), F.greatest(score - PENALTY, F.lit(0.0))).otherwise(score)
+        old = score
+        score = checks.let(window(text, e), lambda near: F.when(has_any(near, raising or ()), F.least(old + boost, F.lit(1.0))).when(has_any(near, lowering or ()), F.greatest(old - PENALTY, F.lit(0.0))).otherwise(old))
     if label == "TG_CHAT_ID":
         score = F.when(F.trim(e["text"]).rlike(checks.CHANNEL_SHAPE), F.greatest(score, F.lit(0.95))).otherwise(score)
     return score

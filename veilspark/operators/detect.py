@@ -10,6 +10,7 @@ from veilspark.functions.spans import empty, hits, merge_persons, overlaps, reso
 from veilspark.operators.context import judge_mixed, judged
 from veilspark.operators.recognizers import RECOGNIZERS, RULES, Recognizer
 from veilspark.plans.config import PiiConfig
+from veilspark.plans.staging import staged
 
 
 #: Cheap searches that a text must pass before any pattern of a label is tried.
@@ -76,5 +77,8 @@ def with_spans(df: DataFrame, text: str = "text", config: PiiConfig = PiiConfig(
 
 
 def exploded(df: DataFrame, key: str = "doc_id", spans: str = "spans") -> DataFrame:
-    """One row per span: key, label, text, start, end, confidence, source."""
-    return df.select(key, F.explode(spans).alias("e")).select(key, "e.*")
+    """One row per span: key, label, text, start, end, confidence, source.
+
+    The arrays are written first: a generator right above the detection would make Catalyst copy it for every field.
+    """
+    return staged(df.select(key, spans), "spans").select(key, F.inline(spans))

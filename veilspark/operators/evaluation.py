@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,15 +72,13 @@ def _greedy(kind: str, least_iou: float):
         x, y = sorted((core(a), core(b)), key=len)
         return len(x) >= 8 and x in y
 
-    def iou(g, p) -> float:
-        if pd.isna(g.start) or pd.isna(g.end):
-            return float(norm(g.text) == norm(p.text))
-        common = min(g.end, p.end) - max(g.start, p.start)
-        return common / (max(g.end, p.end) - min(g.start, p.start)) if common > 0 else 0.0
+    def iou(g: dict, p: dict) -> float:
+        if g["start"] is None or g["end"] is None:
+            return float(norm(g["text"]) == norm(p["text"]))
+        common = min(g["end"], p["end"]) - max(g["start"], p["start"])
+        return common / (max(g["end"], p["end"]) - min(g["start"], p["start"])) if common > 0 else 0.0
 
-    def run(key: tuple, gold: pd.DataFrame, predicted: pd.DataFrame) -> pd.DataFrame:
-        g = list(gold.sort_values("i").itertuples()) if len(gold) else []
-        p = list(predicted.sort_values("i").itertuples()) if len(predicted) else []
+    def counts(g: list[dict], p: list[dict]) -> tuple[int, int, int]:
         used_g: set[int] = set()
         used_p: set[int] = set()
         if kind == "overlap":
@@ -90,23 +88,32 @@ def _greedy(kind: str, least_iou: float):
                     used_g.add(i)
                     used_p.add(j)
         else:
-            for i in sorted(range(len(g)), key=lambda i: -len(g[i].text)):
-                fits = [j for j in range(len(p)) if j not in used_p and same(g[i].text, p[j].text)]
+            for i in sorted(range(len(g)), key=lambda i: -len(g[i]["text"])):
+                fits = [j for j in range(len(p)) if j not in used_p and same(g[i]["text"], p[j]["text"])]
                 if fits:
                     used_g.add(i)
-                    used_p.add(max(fits, key=lambda j: (len(p[j].text), -j)))
-        case_id, label = key
-        return pd.DataFrame({"case_id": [case_id], "label": [label], "tp": [len(used_g)], "fp": [len(p) - len(used_p)], "fn": [len(g) - len(used_g)]})
+                    used_p.add(max(fits, key=lambda j: (len(p[j]["text"]), -j)))
+        return len(used_g), len(p) - len(used_p), len(g) - len(used_g)
 
-    return run
+    @F.arrow_udf("struct<tp:bigint,fp:bigint,fn:bigint>")
+    def match(gold: pa.Array, predicted: pa.Array) -> pa.Array:
+        order = lambda spans: sorted(spans or (), key=lambda s: s["i"])
+        found = [counts(order(g), order(p)) for g, p in zip(gold.to_pylist(), predicted.to_pylist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], names=["tp", "fp", "fn"])
+
+    return match
 
 
 def _evaluate_greedy(gold: DataFrame, predicted: DataFrame, kind: str, least_iou: float) -> DataFrame:
-    """Matching never crosses labels, so a case's labels are matched apart. Order: by start, then text."""
-    numbered = lambda df: df.select("case_id", "label", F.coalesce("text", F.lit("")).alias("text"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), (F.col("i") if "i" in df.columns else F.coalesce("start", F.lit(0))).cast("long").alias("i"))
-    g, p = numbered(gold), numbered(predicted)
-    per_label = g.groupBy("case_id", "label").cogroup(p.groupBy("case_id", "label")).applyInPandas(_greedy(kind, least_iou), "case_id string, label string, tp long, fp long, fn long")
-    return _totals(per_label)
+    """Matching never crosses labels, so a case's labels are matched apart: one row with both lists for each, many rows to an Arrow batch. Order: by start, or i."""
+
+    def listed(df: DataFrame, name: str) -> DataFrame:
+        i = F.col("i") if "i" in df.columns else F.coalesce("start", F.lit(0))
+        one = F.struct(F.coalesce("text", F.lit("")).alias("text"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), i.cast("long").alias("i"))
+        return df.groupBy("case_id", "label").agg(F.collect_list(one).alias(name))
+
+    both = listed(gold, "gold").join(listed(predicted, "predicted"), ["case_id", "label"], "full")
+    return _totals(both.select("case_id", "label", _greedy(kind, least_iou)("gold", "predicted").alias("m")).select("case_id", "label", "m.*"))
 
 
 def evaluate_overlap(gold: DataFrame, predicted: DataFrame, least_iou: float = 0.5) -> DataFrame:

@@ -19,8 +19,7 @@ CHUNK = 4096
 
 def registrations(docs: DataFrame, spans: str = "spans") -> DataFrame:
     """docs (doc_seq, source_file, spans) -> a row for each span."""
-    e = docs.select("doc_seq", "source_file", F.explode(spans).alias("e"))
-    return e.select("doc_seq", "source_file", F.col("e.text").alias("original"), F.col("e.label").alias("label"), F.col("e.start").alias("start"))
+    return docs.select("doc_seq", "source_file", F.inline(spans)).select("doc_seq", "source_file", F.col("text").alias("original"), "label", "start")
 
 
 def order_of(reg: DataFrame) -> Column:
@@ -80,8 +79,9 @@ def pseudonymise(docs: DataFrame, mapping: DataFrame, key: str = "doc_seq", text
     The spans go out, meet the mapping by surface (a join that Spark may broadcast or split when skewed) and come back by
     document. Where a surface isn't in the mapping the span stays as it is.
     """
-    each = docs.select(key, F.explode(spans).alias("e")).join(mapping.select(F.col("original").alias("o"), "placeholder"), F.col("e.text") == F.col("o"), "left")
-    back = each.groupBy(key).agg(F.collect_list(F.struct(F.col("e.start").alias("start"), F.col("e.end").alias("end"), F.coalesce("placeholder", F.col("e.text")).alias("ph"))).alias("__ph"))
+    each = docs.select(F.col(key).alias("__key"), F.inline(spans)).select("__key", "start", "end", F.col("text").alias("original"))
+    each = each.join(mapping.select("original", "placeholder"), "original", "left")
+    back = each.groupBy("__key").agg(F.collect_list(F.struct("start", "end", F.coalesce("placeholder", "original").alias("ph"))).alias("__ph")).withColumnRenamed("__key", key)
     out = docs.join(back, key, "left").withColumn("__ph", F.coalesce("__ph", F.array().cast("array<struct<start:int,end:int,ph:string>>")))
     return out.withColumn(name, rewrite(F.col(text), F.col("__ph"), lambda e: e["ph"])).drop("__ph")
 

@@ -46,11 +46,14 @@ def _score(ok: Column, value: float) -> Column:
 
 
 def _validated(value: float, rule: Callable[[Column, Column, PiiConfig], Column]) -> Validator:
-    return lambda m, config: _score(rule(m, checks.digits(m), config), 1.0 if config.validator_score_one else value)
+    return lambda m, config: _score(checks.let(checks.digits(m), lambda d: rule(m, d, config)), 1.0 if config.validator_score_one else value)
 
 
 def _phone(m: Column, config: PiiConfig) -> Column:
-    d = checks.digits(m)
+    return checks.let(checks.digits(m), lambda d: _phone_score(m, d))
+
+
+def _phone_score(m: Column, d: Column) -> Column:
     prefixed, n = F.trim(m).rlike(checks.PHONE_PREFIX), F.length(d)
     bad = (F.length(F.regexp_replace(m, r"[^.]", "")) >= 2) | F.trim(m).rlike(checks.SNILS_SHAPE) | (checks.snils(d) & ~prefixed) | checks.inn10(d)
     return F.when(bad, 0.0).when((n == 11) & F.substring(d, 1, 1).isin("7", "8"), 0.95).when((n == 10) & prefixed, 0.85).otherwise(0.0)

@@ -13,6 +13,7 @@ from veilspark.operators.evaluation import evaluate, gates
 from veilspark.operators.mapping import build_mapping, pseudonymise, registrations
 from veilspark.operators.masking import first_wins_mapping, mask_generic, report, stats
 from veilspark.plans.config import PiiConfig
+from veilspark.plans.staging import staged
 
 
 def process(docs: DataFrame, config: PiiConfig = PiiConfig(), text: str = "text") -> DataFrame:
@@ -37,11 +38,11 @@ def process_batch(docs: DataFrame, config: PiiConfig = PiiConfig(), extra: DataF
 
     extra: more registrations, e.g. of :func:`cell_registrations`. Each document gets only its own placeholders.
     """
-    found = with_spans(docs, config=config)
+    found = staged(with_spans(docs, config=config), "spans")  # read twice: for registration and for masking
     reg = registrations(found)
     if extra is not None:
         reg = reg.unionByName(extra)
-    mapping = build_mapping(reg, config.canonical_persons, config.strict_persons)
+    mapping = staged(build_mapping(reg, config.canonical_persons, config.strict_persons), "mapping")
     return Batch(pseudonymise(found, mapping), mapping, found)
 
 
@@ -76,5 +77,5 @@ def mask_cells(cells: DataFrame, mapping: dict[str, str]) -> DataFrame:
 def run_gold(cases: DataFrame, gold: DataFrame, config: PiiConfig = PiiConfig(), mode: str = "label_text") -> DataFrame:
     """Detect in every gold case's text and compare with its gold: metrics of each case, and whether it passes its minimum."""
     found = with_spans(cases.select(F.col("id").alias("case_id"), "text"), config=config)
-    predicted = found.select("case_id", F.explode("spans").alias("e")).select("case_id", "e.label", "e.text", "e.start", "e.end")
+    predicted = found.select("case_id", F.inline("spans")).select("case_id", "label", "text", "start", "end")
     return gates(evaluate(gold, predicted, mode, gold_labels_only=True), cases)
