@@ -60,8 +60,8 @@ def lcs_length(a: list[str], b: list[str]) -> int:
         where[w] = where.get(w, 0) | 1 << i
     full = (1 << len(a)) - 1
     row = full
-    for w in b:
-        hit = row & where.get(w, 0)
+    for places in map(where.__getitem__, filter(where.__contains__, b)):
+        hit = row & places
         if hit:
             row = (row + hit | row - hit) & full
     return len(a) - row.bit_count()
@@ -77,6 +77,9 @@ class Item:
     words: list[str]
     answer: list[str]
 
+    def __post_init__(self) -> None:
+        self.counts = Counter(self.words)
+
 
 @dataclass
 class Model:
@@ -112,6 +115,8 @@ def item_blocks(benchmark: DataFrame, size: int) -> Iterator[list[Item]]:
 def document_frequencies(docs: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int], int]:
     """In how many documents each term of the vocabulary occurs, and the number of documents; over all rows."""
 
+    ship(docs.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         n = 0
@@ -213,6 +218,7 @@ def candidates(words: list[str], model: Model, config: DecontaminationConfig) ->
 def leaks_in(text: str | None, model: Model, config: DecontaminationConfig) -> list[dict]:
     """The items that the whole text contains: item_id, cosine, lcs, answer (each the best over its windows)."""
     words, out = words_of(text), []
+    needed = min(config.lcs, config.lcs_paraphrase)
     if not words:
         return out
     for k, windows in candidates(words, model, config).items():
@@ -222,6 +228,9 @@ def leaks_in(text: str | None, model: Model, config: DecontaminationConfig) -> l
             if n < config.least_words:
                 break
             around = words[max(0, start - n) : start + config.window + n] if n > config.window else words[max(0, start - n // 2) : start + config.window + n // 2]
+            # The item's words that stand in the window at all bound the common subsequence.
+            if sum(map(item.counts.__getitem__, item.counts.keys() & around)) < needed * n:
+                continue
             share = lcs_length(item.words, around) / n
             if best is None or share > best["lcs"]:
                 answer = lcs_length(item.answer, around) / len(item.answer) if item.answer else 1.0
