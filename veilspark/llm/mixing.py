@@ -150,7 +150,8 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> tuple[DataFrame, Da
     drawn = slots(plan, config).withColumnRenamed("n_words", "limit")
     pieces = packed(sizes, plan, config)
     got = F.least(F.col("at") + F.col("n_words"), F.col("limit")) - F.col("at")
-    taken = drawn.join(pieces, ["sid", "block"]).withColumn("n_words", got).filter("n_words > 0")
+    # Both sides grow with the data; the draw is made by explodes, whose size Spark underestimates, so the join is named.
+    taken = drawn.hint("merge").join(pieces, ["sid", "block"]).withColumn("n_words", got).filter("n_words > 0")
     return sizes, plan, taken.select("shard", "sid", "epoch", "block", "row", "doc_id", "at", "n_words")
 
 
