@@ -164,13 +164,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = To
     chosen = [r["feature"] for r in best]
     if not chosen:
         return OrdinalModel({}, np.zeros(GRADES - 1))
-    got = sample.mapInArrow(_vectors(chosen), "toxic int, cols array<int>, vals array<double>").collect()
-    rows = np.repeat(np.arange(len(got)), [len(r["cols"]) for r in got])
-    cols = np.array([c for r in got for c in r["cols"]], dtype=np.int64)
-    vals = np.array([x for r in got for x in r["vals"]])
-    toxic = np.array([r["toxic"] for r in got])
+    got = sample.mapInArrow(_vectors(chosen), "toxic int, cols array<int>, vals array<double>").toArrow().combine_chunks()
+    lists, values = (pa.chunked_array(got.column(k)).combine_chunks() for k in (1, 2))
+    rows = np.repeat(np.arange(len(got)), np.diff(lists.offsets.to_numpy()))
+    cols, vals = lists.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy()
+    toxic = got.column(0).to_numpy()
     distinctive = np.array([r["a"] / n1 > 10 * r["b"] / n0 for r in best])
-    density = np.bincount(rows, weights=vals * distinctive[cols], minlength=len(got))
+    density = np.bincount(rows, weights=vals * distinctive[cols], minlength=len(toxic))
     cuts = np.quantile(density[toxic == 1], [1 / 3, 2 / 3])
     grade = np.where(toxic == 1, 1 + np.searchsorted(cuts, density, side="right"), 0)
     w, thresholds = fit_ordinal(rows, cols, vals, grade, len(chosen), config)
