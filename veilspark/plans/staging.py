@@ -4,8 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's modules to the Python workers, which import them by name; once for each application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        top = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp(prefix="veilspark-code-")) / "veilspark_modules.zip"  # the driver serves it to executors
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted([*top.rglob("*.py"), *top.rglob("*.npz")]):
+                z.write(f, f.relative_to(top.parent))
+        context.addPyFile(str(target))
+        _shipped.add(context.applicationId)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions.cells import cell_string
+from veilspark.plans.staging import ship
 
 TEXT = ("txt", "md", "csv", "log")
 FORMATS = {**dict.fromkeys(TEXT, "text"), "docx": "docx", "xlsx": "xlsx", "xlsm": "xlsx", "pdf": "pdf", **dict.fromkeys(("png", "jpg", "jpeg", "tiff", "bmp", "gif"), "image")}
@@ -28,6 +29,7 @@ CELLS = "source_path string, sheet string, row int, col int, raw string, kind st
 
 def files(spark: SparkSession, path: str) -> DataFrame:
     """source_path, source_file, ext, source_format (null if unknown) and content of every file under path."""
+    ship(spark)
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
