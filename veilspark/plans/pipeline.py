@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.cells import covers_cell, is_junk, looks_like_org, pipe_fragments, rewritten_cell
+from veilspark.functions.labels import generic_placeholder
 from veilspark.operators.detect import with_spans
 from veilspark.operators.evaluation import evaluate, gates
-from veilspark.operators.mapping import build_mapping, pseudonymise, registrations
+from veilspark.operators.mapping import build_mapping, pseudonymise, registrations, surfaces
 from veilspark.operators.masking import first_wins_mapping, mask_generic, report, stats
 from veilspark.plans.config import PiiConfig
 from veilspark.plans.staging import staged
@@ -74,6 +75,12 @@ def mask_cells(cells: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return cells.withColumn("masked", rewritten_cell(F.col("value"), F.col("is_formula"), entries))
 
 
+def enrich_generic(mapping: DataFrame, registered: DataFrame) -> DataFrame:
+    """A document's generic mapping (original, placeholder) with the surfaces that only its cells have, under their label's placeholder; known surfaces keep theirs."""
+    new = surfaces(registered).join(mapping.select("original"), "original", "left_anti")
+    return mapping.select("original", "placeholder").unionByName(new.select("original", generic_placeholder(F.col("label")).alias("placeholder")))
+
+
 def run_gold(cases: DataFrame, gold: DataFrame, config: PiiConfig = PiiConfig(), mode: str = "label_text") -> DataFrame:
     """Detect in every gold case's text and compare with its gold: metrics of each case, and whether it passes its minimum."""
     found = with_spans(cases.select(F.col("id").alias("case_id"), "text"), config=config)
