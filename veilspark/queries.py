@@ -89,7 +89,7 @@ def card_spans(spark, sf_dir):
     return found.filter(F.col("text").rlike("^[0-9]{16}$")).select("doc_id", "label", "text", "start", "end")
 
 
-@query(f"""SELECT lang, count(*) AS documents, sum(len(regexp_extract_all(text, '{EMAIL}'))) AS emails FROM documents GROUP BY lang""")
+@query(f"""SELECT lang, count(*) AS documents, CAST(sum(len(regexp_extract_all(text, '{EMAIL}'))) AS BIGINT) AS emails FROM documents GROUP BY lang""")
 def emails_by_lang(spark, sf_dir):
     d = with_spans(_t(spark, sf_dir, "documents").select("lang", "text"), config=ONLY("EMAIL_ADDRESS"))
     return d.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("spans")).alias("emails"))
