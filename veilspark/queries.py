@@ -18,10 +18,10 @@ from veilspark.operators.context import thresholds
 from veilspark.operators.detect import exploded, with_spans
 from veilspark.operators.evaluation import evaluate, overlap_candidates
 from veilspark.operators.mapping import build_mapping, mapping_stats, pseudonymise, registrations, restore
-from veilspark.operators.masking import dictionary_rewrite, first_wins_mapping, mask_generic, stats
+from veilspark.operators.masking import dictionary_rewrite, first_wins_mapping, legend, mask_generic, placeholders_in
 from veilspark.operators.recognizers import RECOGNIZERS
 from veilspark.plans.config import PiiConfig
-from veilspark.plans.pipeline import process, process_batch, with_report
+from veilspark.plans.pipeline import enrich_generic, process, process_batch, with_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -376,6 +376,22 @@ def eval_overlap(spark, sf_dir):
     return evaluate(*_gold_and_predicted(spark, sf_dir), mode="overlap")
 
 
+_item = lambda: F.concat(F.lit("item "), F.col("l_linenumber"))
+
+
+@query(f"""WITH l AS (SELECT CAST(l_orderkey AS VARCHAR) AS case_id, CASE l_linenumber % 3 WHEN 0 THEN 'EMAIL_ADDRESS' WHEN 1 THEN 'PERSON' ELSE 'RU_INN' END AS label, l_partkey % 3 AS k FROM {_ONE_LINE}),
+c AS (SELECT case_id, label, CASE WHEN k < 2 THEN 1 ELSE 0 END AS tp, CASE WHEN k < 2 THEN 0 ELSE 1 END AS fp, CASE WHEN k < 2 THEN 0 ELSE 1 END AS fn FROM l)
+{_PRF}""")
+def eval_label_text(spark, sf_dir):
+    """A prediction of every gold item: with the same text in other white space and case, with words around it, or of something else."""
+    l = _lines(spark, sf_dir)
+    label = F.element_at(F.array(*map(F.lit, ("EMAIL_ADDRESS", "PERSON", "RU_INN"))), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    k = F.col("l_partkey") % 3
+    said = F.when(k == 0, F.upper(F.replace(_item(), F.lit(" "), F.lit("  ")))).when(k == 1, F.concat(F.lit("the "), _item(), F.lit(" here"))).otherwise("else")
+    whole = lambda text: l.select(F.col("l_orderkey").cast("string").alias("case_id"), label.alias("label"), text.alias("text"), (F.col("l_linenumber") * 20).cast("int").alias("start"), (F.col("l_linenumber") * 20 + 10).cast("int").alias("end"))
+    return evaluate(whole(_item()), whole(said), mode="label_text")
+
+
 # --- dictionaries and cells --------------------------------------------------------------------------------------
 
 
@@ -411,3 +427,25 @@ def cell_heuristics(spark, sf_dir):
 def first_wins(spark, sf_dir):
     d = with_spans(_t(spark, sf_dir, "documents").select("doc_id", "text"), config=ONLY("EMAIL_ADDRESS"))
     return d.select("doc_id", F.map_keys(first_wins_mapping(F.col("spans"))).alias("k")).filter("size(k) = 1").select("doc_id", F.col("k")[0].alias("first_surface"))
+
+
+@query("""SELECT o_orderkey, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '<[A-Za-z0-9_]+>'))), ' ') AS placeholders, len(regexp_extract_all(t, '<[A-Za-z0-9_]+>')) AS found
+FROM (SELECT o_orderkey, '<' || o_orderstatus || '_' || (o_custkey % 9) || '> < a> <B_1>, <' || o_orderstatus || '_1>' AS t FROM orders)""")
+def placeholder_tokens(spark, sf_dir):
+    t = F.concat(F.lit("<"), "o_orderstatus", F.lit("_"), F.col("o_custkey") % 9, F.lit("> < a> <B_1>, <"), "o_orderstatus", F.lit("_1>"))
+    found = placeholders_in(t)
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.array_sort(F.array_distinct(found)), " ").alias("placeholders"), F.size(found).cast("long").alias("found"))
+
+
+@query("""SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(CASE l_linenumber % 3 WHEN 0 THEN 'EMAIL_ADDRESS' WHEN 1 THEN 'PERSON' ELSE 'RU_INN' END))), ' ') AS labels FROM lineitem GROUP BY l_orderkey""")
+def legend_labels(spark, sf_dir):
+    return _line_spans(spark, sf_dir).select("l_orderkey", F.array_join(legend(F.col("spans")), " ").alias("labels"))
+
+
+@query("""SELECT DISTINCT 'Клиент ' || o_custkey AS original, CASE WHEN o_custkey % 3 = 0 THEN '<KNOWN>' WHEN o_custkey % 2 = 0 THEN '<ORG>' ELSE '<LOC>' END AS placeholder FROM orders""")
+def cell_enrichment(spark, sf_dir):
+    """A generic mapping that knows a third of the surfaces, extended by what only the cells have."""
+    label = F.when(F.col("o_custkey") % 2 == 0, "ORGANIZATION").otherwise("LOCATION")
+    reg = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_seq"), F.lit("a").alias("source_file"), F.concat(F.lit("Клиент "), "o_custkey").alias("original"), label.alias("label"), F.lit(0).alias("start"), "o_custkey")
+    known = reg.filter("o_custkey % 3 = 0").select("original", F.lit("<KNOWN>").alias("placeholder")).distinct()
+    return enrich_generic(known, reg)

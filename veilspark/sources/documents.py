@@ -24,7 +24,7 @@ FORMATS = {**dict.fromkeys(TEXT, "text"), "docx": "docx", "xlsx": "xlsx", "xlsm"
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-CELLS = "source_path string, sheet string, row int, col int, raw string, kind string, is_formula boolean"
+CELLS = "source_path string, sheet_no int, sheet string, row int, col int, raw string, kind string, is_formula boolean"
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -111,11 +111,12 @@ def _docx(with_margins: bool):
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_())
-    names = ["source_path", "sheet", "row", "col", "raw", "kind", "is_formula"]
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_())
+    names = ["source_path", "sheet_no", "sheet", "row", "col", "raw", "kind", "is_formula"]
     for b in batches:
         for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            rows = [(path, *c) for c in xlsx_cells(content.as_py())]
+            order: dict[str, int] = {}
+            rows = [(path, order.setdefault(c[0], len(order)), *c) for c in xlsx_cells(content.as_py())]
             yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
@@ -129,16 +130,16 @@ def docx_documents(found: DataFrame, with_margins: bool = False) -> DataFrame:
 
 
 def cells(found: DataFrame) -> DataFrame:
-    """(source_path, sheet, row, col, raw, kind, is_formula, value) of every cell of the workbooks."""
+    """(source_path, sheet_no, sheet, row, col, raw, kind, is_formula, value) of every cell of the workbooks; sheets are numbered in workbook order."""
     raw = found.filter("source_format = 'xlsx'").select("source_path", "content").mapInArrow(_cells, CELLS)
     return raw.withColumn("value", cell_string(F.col("raw"), F.col("kind")))
 
 
 def sheet_texts(cell: DataFrame) -> DataFrame:
-    """Workbooks as text: per sheet a heading and its rows, cells joined by " | "; empty cells, rows and sheets left out."""
+    """Workbooks as text: per sheet, in workbook order, a heading and its rows, cells joined by " | "; empty cells, rows and sheets left out."""
     full = cell.filter("value <> ''")
     rows = full.groupBy("source_path", "sheet", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda x: x["value"]), " | ").alias("line"))
-    order = cell.groupBy("source_path", "sheet").agg(F.min("sheet_no").alias("no")) if "sheet_no" in cell.columns else cell.select("source_path", "sheet").distinct().withColumn("no", F.col("sheet"))
+    order = cell.groupBy("source_path", "sheet").agg(F.min("sheet_no").alias("no"))
     sheets = rows.groupBy("source_path", "sheet").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("lines"))
     texts = sheets.join(order, ["source_path", "sheet"]).withColumn("text", F.concat(F.lit("=== "), F.col("sheet"), F.lit(" ===\n"), F.col("lines")))
     return texts.groupBy("source_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
