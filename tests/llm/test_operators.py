@@ -196,6 +196,20 @@ def test_decontamination(spark):
     assert dc.lcs_length("a b c d".split(), "x b d y".split()) == 2
 
 
+def test_decontamination_of_an_item_in_many_documents(spark):
+    r = random.Random(12)
+    lexicon = words(r, 4000).split()
+    prose = lambda n: " ".join(r.choices(lexicon, k=n))
+    items = [(i, prose(18) + ". " + prose(6) + ".") for i in range(12)]
+    para = items[5][1].split()
+    para[2:17:3] = ["other"] * 5
+    docs = [(i, prose(90)) for i in range(120)]
+    hot = [(200 + i, f"{prose(50)} {items[5][1] if i % 2 else ' '.join(para)} {prose(50)}") for i in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in dc.contaminated(frame(spark, [*docs, *hot, (300, f"{prose(50)} {items[7][1]}")]), bench).collect()}
+    assert got == {(i, 5) for i, _ in hot} | {(300, 7)}
+
+
 def test_toxicity_held_out(spark):
     r = random.Random(9)
     bad = ["zorgh", "plimf", "vraxy"]

@@ -5,6 +5,9 @@
    benchmark passage has cannot tell a leak from other text, so the space is fitted to the passages searched for.
 3. Candidates: every document is read as overlapping windows of words; a window whose latent vector has a cosine of at least
    ``cosine`` with a passage is compared further. All windows of all documents are searched, without an index to miss any.
+   Terms in more than ``most_documents`` of the documents are not in the space. An item with such words (it may itself be
+   copied to that many documents) is also sought by its words as they are: a window is compared further if it holds enough
+   of them to pass the checks, and is a candidate if a run of the item's length has that cosine over all terms.
 4. Checks: the longest common subsequence of the item's words and the words around the window, over the item's length, is at
    least ``lcs``; or, for paraphrases, at least ``lcs_paraphrase`` while the answer (a column, or else the item's
    last sentence) is found to ``answer`` as well. Items of under ``least_words`` words must occur word for word.
@@ -19,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +47,7 @@ class DecontaminationConfig:
     lcs_paraphrase: float = 0.6
     answer: float = 0.8
     least_words: int = 8
-    #: terms in a greater share of the documents say nothing about a passage
+    #: terms in a greater share of the documents are left out of the latent space; items with such terms are also sought by their words
     most_documents: float = 0.05
     block_items: int = 4096
     seed: int = 42
@@ -90,6 +94,15 @@ class Model:
     latent: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.float32))
     passages: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.float32))
     owner: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    #: items of under least_words words
+    short: list[Item] = field(default_factory=list)
+    #: items with words that the space leaves out, and of the terms and these words the number, the idf and how often (words x items) each item has each
+    by_words: list[int] = field(default_factory=list)
+    rows: dict[str, int] = field(default_factory=dict)
+    idf: dict[str, float] = field(default_factory=dict)
+    held: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+    #: words that each of by_words must share with a window's surroundings to pass the checks
+    least: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
 
 
 def last_sentence(text: str) -> str:
@@ -166,6 +179,27 @@ def randomised_svd(rows: DataFrame, n_terms: int, rank: int, rounds: int, seed:
 
 
 def fit_model(spark: SparkSession, items: list[Item], df: dict[str, int], n_docs: int, config: DecontaminationConfig) -> Model:
+    """The latent space of a block of items, and what finds the items with words outside it."""
+    return with_words(latent_model(spark, items, df, n_docs, config), df, n_docs, config)
+
+
+def with_words(model: Model, df: dict[str, int], n_docs: int, config: DecontaminationConfig) -> Model:
+    """Add to model what :func:`candidates_by_words` needs."""
+    items = model.items
+    some = [k for k, i in enumerate(items) if len(i.words) >= config.least_words and not i.counts.keys() <= model.terms.keys()]
+    every = [*model.terms, *sorted({w for k in some for w in items[k].counts} - model.terms.keys())]
+    model.by_words, model.rows = some, {w: r for r, w in enumerate(every)}
+    model.short = [i for i in items if len(i.words) < config.least_words]
+    model.idf = {w: 1 + float(np.log((1 + n_docs) / (1 + df.get(w, 0)))) for w in every}
+    model.held = np.zeros((len(every), len(some)), np.float32)
+    for c, k in enumerate(some):
+        for w, n in items[k].counts.items():
+            model.held[model.rows[w], c] = n
+    model.least = np.array([min(config.lcs, config.lcs_paraphrase) * len(items[k].words) for k in some], np.float32) - 1e-3
+    return model
+
+
+def latent_model(spark: SparkSession, items: list[Item], df: dict[str, int], n_docs: int, config: DecontaminationConfig) -> Model:
     """The latent space of a block of items."""
     rare = sorted(w for w in {w for i in items for w in i.words} if df.get(w, 0) <= max(1, config.most_documents * n_docs))
     terms = {w: k for k, w in enumerate(rare)}
@@ -191,13 +225,19 @@ def fit_model(spark: SparkSession, items: list[Item], df: dict[str, int], n_docs
     return Model(items, terms, (v * idf[:, None]).astype(np.float32), passages.astype(np.float32), np.array(owner))
 
 
-def candidates(words: list[str], model: Model, config: DecontaminationConfig) -> dict[int, list[tuple[int, float]]]:
-    """By item, the windows (start and cosine) that are close to one of its passages."""
-    get = model.terms.get
-    hits = [(i, k) for i, k in enumerate(map(get, words)) if k is not None]
-    if not hits:
+def places(words: list[str], ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Where words of ids stand in words, and the id of each."""
+    found = np.fromiter(map(ids.get, words, repeat(-1)), np.int64, len(words))
+    at = np.flatnonzero(found >= 0)
+    return at, found[at]
+
+
+def candidates(words: list[str], at: np.ndarray, row: np.ndarray, model: Model, config: DecontaminationConfig) -> dict[int, list[tuple[int, float]]]:
+    """By item, the windows (start and cosine) that are close to one of its passages; at and row are :func:`places` of words."""
+    kept = row < len(model.terms)
+    at, term = at[kept], row[kept]
+    if not len(at):
         return {}
-    at, term = (np.array(x) for x in zip(*hits, strict=True))
     starts = np.arange(0, max(1, len(words) - config.window + config.stride), config.stride)
     low, high = np.searchsorted(at, starts), np.searchsorted(at, starts + config.window)
     some = high > low
@@ -215,30 +255,88 @@ def candidates(words: list[str], model: Model, config: DecontaminationConfig) ->
     return out
 
 
+def surroundings(start: int, n: int, config: DecontaminationConfig) -> tuple[int, int]:
+    """Where the words begin and end that the checks compare an item of n words with, for the window at start."""
+    more = n if n > config.window else n // 2
+    return max(0, start - more), start + config.window + more
+
+
+def candidates_by_words(words: list[str], at: np.ndarray, row: np.ndarray, model: Model, config: DecontaminationConfig) -> dict[int, list[int]]:
+    """By item of model.by_words, the windows (start) whose surroundings share as many words with it as the checks ask for.
+
+    What shares fewer has a shorter common subsequence, so no window that passes the checks is left out.
+    """
+    there = np.zeros(len(model.rows), np.float32)
+    there[row] = 1
+    some = np.flatnonzero(there @ model.held >= model.least)
+    if not len(some):
+        return {}
+    held, least = model.held[:, some], model.least[some]
+    # Words of none of these items don't count.
+    wanted = held.any(axis=1)
+    at, row = at[wanted[row]], row[wanted[row]]
+    used, row = np.unique(row, return_inverse=True)
+    held = held[used]
+    starts = np.arange(0, max(1, len(words) - config.window + config.stride), config.stride)
+    # One width for all items, the greatest, so that no surroundings are cut.
+    spans = [surroundings(config.stride * len(words), len(model.items[model.by_words[c]].words), config) for c in some]
+    before = config.stride * len(words) - min(a for a, _ in spans)
+    after = max(z for _, z in spans) - config.stride * len(words)
+    out: dict[int, list[int]] = {}
+    for k in range(0, len(starts), 256):  # bounds memory for very long texts
+        part = starts[k : k + 256]
+        there = np.zeros((len(part), len(used)), np.float32)
+        for w, (low, high) in enumerate(zip(np.searchsorted(at, part - before), np.searchsorted(at, part + after), strict=True)):
+            there[w, row[low:high]] = 1
+        for w, c in np.argwhere(there @ held >= least):
+            out.setdefault(model.by_words[some[c]], []).append(int(part[w]))
+    return out
+
+
+def run_cosine(item: Item, around: list[str], idf: dict[str, float]) -> float:
+    """The greatest TF-IDF cosine of item with a run of as many words of around, over the words of idf."""
+    n, best = len(item.words), 0.0
+    norm = sum((c * idf[w]) ** 2 for w, c in item.counts.items()) ** 0.5
+    for at in range(max(1, len(around) - n + 1)):
+        run = Counter(w for w in around[at : at + n] if w in idf)
+        if dot := sum(c * run[w] * idf[w] ** 2 for w, c in item.counts.items()):
+            best = max(best, dot / norm / sum((c * idf[w]) ** 2 for w, c in run.items()) ** 0.5)
+    return min(best, 1.0)
+
+
 def leaks_in(text: str | None, model: Model, config: DecontaminationConfig) -> list[dict]:
     """The items that the whole text contains: item_id, cosine, lcs, answer (each the best over its windows)."""
     words, out = words_of(text), []
     needed = min(config.lcs, config.lcs_paraphrase)
     if not words:
         return out
-    for k, windows in candidates(words, model, config).items():
+    at, row = places(words, model.rows)
+    near = candidates(words, at, row, model, config)
+    for k, starts in (candidates_by_words(words, at, row, model, config) if model.by_words else {}).items():
+        known = {start for start, _ in near.get(k, ())}
+        near.setdefault(k, []).extend((start, None) for start in starts if start not in known)
+    for k, windows in near.items():
         item, best = model.items[k], None
         n = len(item.words)
         for start, cosine in windows:
             if n < config.least_words:
                 break
-            around = words[max(0, start - n) : start + config.window + n] if n > config.window else words[max(0, start - n // 2) : start + config.window + n // 2]
+            low, high = surroundings(start, n, config)
+            around = words[low:high]
             # The item's words that stand in the window at all bound the common subsequence.
             if sum(map(item.counts.__getitem__, item.counts.keys() & around)) < needed * n:
                 continue
             share = lcs_length(item.words, around) / n
+            if cosine is None:  # found by its words
+                if share < needed or (cosine := run_cosine(item, around, model.idf)) < config.cosine:
+                    continue
             if best is None or share > best["lcs"]:
                 answer = lcs_length(item.answer, around) / len(item.answer) if item.answer else 1.0
                 best = {"item_id": item.item_id, "cosine": cosine, "lcs": share, "answer": answer}
         if best and (best["lcs"] >= config.lcs or best["lcs"] >= config.lcs_paraphrase and best["answer"] >= config.answer):
             out.append(best)
-    for item in model.items:
-        if len(item.words) < config.least_words and contains_run(words, item.words):
+    for item in model.short:
+        if contains_run(words, item.words):
             out.append({"item_id": item.item_id, "cosine": 1.0, "lcs": 1.0, "answer": 1.0})
     return sorted(out, key=lambda x: x["item_id"])
 
