@@ -210,6 +210,18 @@ def test_decontamination_of_an_item_in_many_documents(spark):
     assert got == {(i, 5) for i, _ in hot} | {(300, 7)}
 
 
+def test_decontamination_judges_every_window(spark):
+    r = random.Random(13)
+    item = words(r, 32).split()
+    # Better aligned without the answer (24 of 32), then worse aligned with it (20 of 32).
+    first = item[:24] + ["other"] * 8
+    second = ["other"] * 12 + item[12:]
+    text = " ".join([words(r, 100), *first, words(r, 200), *second, words(r, 100)])
+    bench = spark.createDataFrame([(1, " ".join(item), " ".join(item[24:]))], "item_id long, text string, answer string")
+    got = dc.contaminated(frame(spark, [(1, text), (2, " ".join([words(r, 100), *first]))] + [(9 + i, words(r, 50)) for i in range(50)]), bench).collect()
+    assert [(x.doc_id, x.item_id, x.lcs, x.answer) for x in got] == [(1, 1, 20 / 32, 1.0)]
+
+
 def test_toxicity_held_out(spark):
     r = random.Random(9)
     bad = ["zorgh", "plimf", "vraxy"]

@@ -305,7 +305,7 @@ def run_cosine(item: Item, around: list[str], idf: dict[str, float]) -> float:
 
 
 def leaks_in(text: str | None, model: Model, config: DecontaminationConfig) -> list[dict]:
-    """The items that the whole text contains: item_id, cosine, lcs, answer (each the best over its windows)."""
+    """The items that the whole text contains: item_id, cosine, lcs, answer (of the window with the greatest lcs among those that pass the checks)."""
     words, out = words_of(text), []
     needed = min(config.lcs, config.lcs_paraphrase)
     if not words:
@@ -330,10 +330,11 @@ def leaks_in(text: str | None, model: Model, config: DecontaminationConfig) -> l
             if cosine is None:  # found by its words
                 if share < needed or (cosine := run_cosine(item, around, model.idf)) < config.cosine:
                     continue
-            if best is None or share > best["lcs"]:
+            if share >= needed and (best is None or share > best["lcs"]):
                 answer = lcs_length(item.answer, around) / len(item.answer) if item.answer else 1.0
-                best = {"item_id": item.item_id, "cosine": cosine, "lcs": share, "answer": answer}
-        if best and (best["lcs"] >= config.lcs or best["lcs"] >= config.lcs_paraphrase and best["answer"] >= config.answer):
+                if share >= config.lcs or share >= config.lcs_paraphrase and answer >= config.answer:
+                    best = {"item_id": item.item_id, "cosine": cosine, "lcs": share, "answer": answer}
+        if best:
             out.append(best)
     for item in model.short:
         if contains_run(words, item.words):
