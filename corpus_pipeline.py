@@ -17,6 +17,9 @@ from veilspark.llm.mixing import mixed_documents
 from veilspark.llm.simhash import simhash_components
 from veilspark.llm.toxicity import fit_toxicity, severity
 
+#: The key of a row within a stage; doc_id may be null or repeated.
+ROW = "_pipeline_row"
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model, fitted to the labelled rows, doesn't call toxic."""
@@ -26,19 +29,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id stays.
-
-    What goes is few ids beside all texts, so the verdicts are joined by doc_id, not shipped with the texts. Rows without
-    an id all stay, and of rows that repeat a doc_id all stay or go together.
-    """
-    found = exact_dedup(docs.select("doc_id", "text"), DigestIndex(spark, work_dir(spark, "index")))
-    return without(docs, found.filter("doc_id <> keep_id").select("doc_id"))
+    """Of equal texts one row stays, the one with the smallest doc_id (a null one only where no row of the group has an id)."""
+    rows = keyed(docs)
+    found = exact_dedup(rows.select("doc_id", "text", ROW), DigestIndex(spark, work_dir(spark, "index")), ROW)
+    return without(rows, found.filter("NOT kept").select(ROW)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, the one with the smallest doc_id."""
-    found = simhash_components(docs.select("doc_id", "text"))
-    return without(docs, found.filter("doc_id <> component_id").select("doc_id"))
+    """One row of each SimHash component stays, the one with the smallest doc_id (a null one only where no row has an id)."""
+    rows = keyed(docs)
+    found = simhash_components(rows.select(F.col(ROW).alias("doc_id"), "text"))
+    found = stage(found.select(F.col("doc_id").alias(ROW), "component_id").join(rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id")), ROW), "components")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(ROW).alias("r"))
+    first = found.groupBy("component_id").agg(F.min(order)["r"].alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    # Only rows of components with several can go, and each of these but the first does.
+    gone = found.join(first, "component_id").filter(F.col(ROW) != F.col("first"))
+    return without(rows, gone.select(ROW)).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +57,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_documents(docs)
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is among ids; rows with a null doc_id stay."""
-    return docs.join(stage(ids.distinct(), "dropped"), "doc_id", "left_anti").select(*docs.columns)
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row, written to the shared folder so that the key stays the same."""
+    return stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows (see :func:`keyed`) without those whose key is in gone: few keys beside all texts."""
+    return rows.join(stage(gone, "dropped"), ROW, "left_anti")
 
 
 STAGES = [

@@ -26,3 +26,17 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert {i for i, *_ in clean} <= ids and None in ids
     assert not ids & {*range(100, 160), 200, 201, 300}
     assert sum(x.taken for x in out) <= 3 * sum(x.size for x in out)
+
+
+def test_copies_with_null_and_repeated_ids(spark, tmp_path):
+    r = random.Random(14)
+    a, b, c, d, e = (words(r, 80) for _ in range(5))
+    rows = [(1, a), (1, a), (None, b), (None, b), (2, c), (3, c), (3, d), (None, e), (7, e), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], COLUMNS)
+    key = lambda out: sorted(((x.doc_id, x.text) for x in out.collect()), key=str)
+    want = sorted([(1, a), (None, b), (2, c), (3, d), (7, e), (None, None)], key=str)
+    assert key(corpus_pipeline.drop_exact_copies(spark, docs, str(tmp_path))) == want
+    near = spark.createDataFrame([(i, t and t + " tail" * (k % 2), "en", "a", 0) for k, (i, t) in enumerate(rows)], COLUMNS)
+    out = corpus_pipeline.drop_near_copies(spark, near, str(tmp_path)).collect()
+    found = sorted(((x.doc_id, x.text and x.text.removesuffix(" tail")) for x in out), key=str)
+    assert found == want

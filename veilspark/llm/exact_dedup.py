@@ -49,17 +49,19 @@ def with_digest(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("digest", F.unhex(F.sha2(F.encode(F.regexp_replace(text_or_empty(text), f"{SPACE}+", " "), "UTF-8"), 256)))
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
+def exact_dedup(docs: DataFrame, index: DigestIndex, key: str | None = None) -> DataFrame:
     """De-duplicate a batch (doc_id, text) against the index and within itself, and add what is new to the index.
 
     Returns one row per input row: doc_id, keep_id, group_size (rows of the batch with an equal
     text), kept, digest. Null text counts as empty. The smallest doc_id of a new text stays; a text
     that the index already holds keeps the index's doc_id and every row of the batch with it goes.
     Of rows that repeat a doc_id with the same text, exactly one is kept. A null doc_id stays
-    only where no row of its group has an id. Empty input gives empty output; other columns are ignored.
+    only where no row of its group has an id. Empty input gives empty output; other columns are ignored,
+    but for ``key``, a column of distinct longs that tells a row's verdict from those of equal rows: it is returned too.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    rows = stage(with_digest(rows).select("doc_id", "digest", F.monotonically_increasing_id().alias("row")), "digests")
+    row = F.monotonically_increasing_id() if key is None else F.col(key)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), row.alias("row"))
+    rows = stage(with_digest(rows).select("doc_id", "digest", "row"), "digests")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("row").alias("r"))
     # Partial aggregation leaves one row per digest and task before the shuffle, so a hot text is no hot key.
     reps = stage(rows.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size")), "groups")
@@ -69,7 +71,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
     verdict = reps.select("digest", "group_size").join(known, "digest", "left").join(fresh.select("digest", "keep_row"), "digest", "left")
     # Groups of one need no join back on a hot key, but the rows of large groups do: a sort-merge join whose skewed side Spark splits.
     out = rows.join(stage(verdict, "verdict"), "digest")
-    return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"), "digest")
+    return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"), "digest", *([] if key is None else [F.col("row").alias(key)]))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
