@@ -63,6 +63,19 @@ def test_mixing_against_brute_force(spark):
     assert mixing.mixed_documents(frame(spark, [])).count() == 0
 
 
+def test_mixing_writes_the_words_of_its_blocks(spark):
+    r = random.Random(15)
+    rows = [(None if i % 9 == 0 else i // 2, words(r, r.choice([0, 1, 7, 120])).replace(" ", " \n", 3), "en", r.choice("abc"), 0, "") for i in range(80)]
+    sizes, plan, taken = mixing.mix(spark.createDataFrame(rows, DOCS), mixing.MixConfig(block_words=16, shard_words=256))
+    text = {x.row: x.text.split() for x in sizes.collect()}
+    assert sorted(map(" ".join, text.values())) == sorted(" ".join(t.split()) for _, t, *_ in rows)
+    due = {(x.shard, x.sid, x.epoch, x.block): x.n_words for x in mixing.slots(plan, mixing.MixConfig(block_words=16, shard_words=256)).collect()}
+    got = mixing.blocks(sizes, taken).collect()
+    assert {(x.shard, x.sid, x.epoch, x.block): len(x.text.split(" ")) for x in got} == due and len(got) == len(due)
+    for x in got:
+        assert x.text.split(" ") == [w for p in x.pieces for w in text[p.row][p["first"] : p["first"] + p.n_words]] and x.n_words == due[x.shard, x.sid, x.epoch, x.block]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000])
 def test_permutation(spark, n):
     d = mixing.keyed(spark.range(n).withColumn("n", F.lit(n).cast("long")).withColumn("key", F.lit(5).cast("long")), "n", "key")

@@ -8,6 +8,8 @@
 4. map:    slot -> (epoch, index) through a pseudorandom permutation of the source's blocks.
 5. join:   blocks and slots meet by (source, block index); both sides are spread evenly, whatever the
            sizes of the sources.
+6. write:  the words of every piece are cut out of its document and joined to blocks, which are written to
+           the shared folder with their shard; how much of a document is taken is counted from them.
 """
 
 from __future__ import annotations
@@ -38,9 +40,9 @@ class MixConfig:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, source, size): size counts the words of the whole text, null text has none."""
+    """(row, doc_id, source, text, size): size counts the words of the whole text, null text has none."""
     n = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n.alias("size")).withColumn("row", F.monotonically_increasing_id())
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_or_empty().alias("text"), n.alias("size")).withColumn("row", F.monotonically_increasing_id())
 
 
 def source_plan(sizes: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
@@ -91,7 +93,7 @@ def permuted(df: DataFrame, k: str, n: str, out: str) -> DataFrame:
 
 
 def packed(sizes: DataFrame, plan: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
-    """Pieces of documents in blocks: sid, block, row, doc_id, at (first word's place in the block), n_words.
+    """Pieces of documents in blocks: sid, block, row, doc_id, at and first (first word's place in the block and in the document), n_words.
 
     The place of a document in its source is a two-level prefix sum: over at most ``chunks`` chunk totals of
     a source, then within a chunk, so that no task orders a whole source.
@@ -108,7 +110,8 @@ def packed(sizes: DataFrame, plan: DataFrame, config: MixConfig = MixConfig()) -
     first, last = F.floor(F.col("start") / b), F.floor((F.col("end") - 1) / b)
     pieces = docs.select("sid", "row", "doc_id", "start", "end", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("block"))
     at = F.greatest(F.col("start") - F.col("block") * b, F.lit(0))
-    return pieces.select("sid", "block", "row", "doc_id", at.alias("at"), (F.least(F.col("end") - F.col("block") * b, b) - at).alias("n_words"))
+    first = F.greatest(F.col("block") * b - F.col("start"), F.lit(0))
+    return pieces.select("sid", "block", "row", "doc_id", at.alias("at"), first.alias("first"), (F.least(F.col("end") - F.col("block") * b, b) - at).alias("n_words"))
 
 
 def slots(plan: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
@@ -140,8 +143,8 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> tuple[DataFrame, Da
     """Mix docs (doc_id, text, source) to the weights.
 
     Returns (sizes, plan, taken): sizes as :func:`sized`; plan as :func:`source_plan`; taken has one row for
-    each piece of a document in each slot: shard, sid, epoch, block, row, doc_id, at, n_words (words that the
-    mix takes, from ``at`` of the block on). No document is taken more than ``max_epochs`` times in whole. Null and
+    each piece of a document in each slot: shard, sid, epoch, block, row, doc_id, at, first, n_words (words that the
+    mix takes, from ``first`` of the document and ``at`` of the block on). No document is taken more than ``max_epochs`` times in whole. Null and
     empty texts have size 0 and are never taken; a null source is a source of its own, after all others; repeated
     rows count as rows of their own; no documents give no rows. Reruns agree.
     """
@@ -152,14 +155,39 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> tuple[DataFrame, Da
     got = F.least(F.col("at") + F.col("n_words"), F.col("limit")) - F.col("at")
     # Both sides grow with the data; the draw is made by explodes, whose size Spark underestimates, so the join is named.
     taken = drawn.hint("merge").join(pieces, ["sid", "block"]).withColumn("n_words", got).filter("n_words > 0")
-    return sizes, plan, taken.select("shard", "sid", "epoch", "block", "row", "doc_id", "at", "n_words")
+    return sizes, plan, taken.select("shard", "sid", "epoch", "block", "row", "doc_id", "at", "first", "n_words")
+
+
+def blocks(sizes: DataFrame, taken: DataFrame) -> DataFrame:
+    """The mix itself, one row for each block drawn: shard, sid, epoch, block, n_words, text, pieces (array of at, row, doc_id, first, n_words).
+
+    text is the block's words with a space between; sizes and taken are :func:`mix`'s. A document is cut into words once, and
+    its pieces are cut from them before they are shuffled to their blocks.
+    """
+    piece = F.struct("shard", "sid", "epoch", "block", "at", "first", "n_words")
+    wanted = taken.groupBy("row").agg(F.collect_list(piece).alias("wanted"))  # at most the pieces of a document in each epoch
+    docs = sizes.select("row", "doc_id", "text").join(wanted.hint("merge"), "row")
+
+    def cut(words):
+        return F.transform("wanted", lambda x: F.struct(x.alias("p"), F.slice(words, (x["first"] + 1).cast("int"), x["n_words"].cast("int")).alias("words")))
+
+    # The words are an element of an array, so that they are found once for a document and not once for a piece.
+    found = F.transform(F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), cut)
+    each = docs.select("row", "doc_id", F.explode(F.element_at(found, 1)).alias("x"))
+    each = each.select("x.p.shard", "x.p.sid", "x.p.epoch", "x.p.block", F.struct("x.p.at", "row", "doc_id", "x.p.first", F.size("x.words").cast("long").alias("n_words"), F.array_join("x.words", " ").alias("text")).alias("piece"))
+    # At most block_words pieces in a group.
+    out = each.groupBy("shard", "sid", "epoch", "block").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    text = F.array_join(F.transform("pieces", lambda p: p["text"]), " ")
+    total = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["n_words"])
+    return out.select("shard", "sid", "epoch", "block", total.alias("n_words"), text.alias("text"), F.transform("pieces", lambda p: p.dropFields("text")).alias("pieces"))
 
 
 def mixed_documents(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target (its source's), taken."""
+    """One row per document: doc_id, size, source_size, target (its source's), taken (words of it in the blocks written)."""
     sizes, plan, taken = mix(docs, config)
-    per_row = taken.groupBy("row").agg(F.sum("n_words").alias("taken"))
-    out = sizes.join(plan.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).join(per_row, "row", "left")
+    written = stage(blocks(sizes, taken), "blocks").select(F.explode("pieces").alias("p"))
+    per_row = written.groupBy("p.row").agg(F.sum("p.n_words").alias("taken"))
+    out = sizes.drop("text").join(plan.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).join(per_row, "row", "left")
     return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
