@@ -257,6 +257,15 @@ def test_html_extraction(spark):
     assert got[1] == "A & B One two, three four five. Six seven eight nine." and got[2] == got[3] == ""
 
 
+def test_only_hiding_attributes_hide_text():
+    from veilspark.llm.html_blocks import blocks
+
+    shown = ['class="overflow-hidden"', "class='hidden-xs'", 'style="overflow:hidden"', 'title="the hidden truth"', "data-x=hidden", 'hidden="until-found"', 'data-style="display:none"']
+    gone = ["hidden", "HIDDEN=''", 'class="a" hidden="hidden"', 'style="color:red; display : none"', 'aria-hidden="true"']
+    assert [x for x in shown if any(b.hidden for b in blocks(f"<div {x}><p>hello</p></div>"))] == []
+    assert [x for x in gone if not all(b.hidden for b in blocks(f"<div {x}><p>hello</p></div>"))] == []
+
+
 def test_labeller_held_out():
     from veilspark.llm.html_lstm import trained
     from veilspark.llm.train_extractor import Maker, accuracy

@@ -23,7 +23,8 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 NAMED = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?(?:until|false))|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
@@ -41,6 +42,18 @@ def names_of(tag: str, attrs: str) -> tuple[str, ...]:
     return (tag, *("." + w for w in words))
 
 
+def is_hidden_by(attrs: str) -> bool:
+    """Whether the attributes hide their element: hidden, aria-hidden="true" or a style with display:none; by name, so that no class or other value does."""
+    low = attrs.lower()
+    if "hidden" not in low and "display" not in low:
+        return False
+    for m in ATTRIBUTE.finditer(attrs):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip().lower()
+        if name == "hidden" and value not in ("until-found", "false") or name == "aria-hidden" and value == "true" or name == "style" and NOT_SHOWN.search(value):
+            return True
+    return False
+
+
 def blocks(html: str | None) -> list[Block]:
     """The page's text blocks in order. White space inside a block is one space, character references are decoded."""
     out: list[Block] = []
@@ -103,7 +116,7 @@ def blocks(html: str | None) -> list[Block]:
                 pop(first)  # an inline element left open doesn't reach over blocks
         if attrs.rstrip().endswith("/"):
             continue
-        is_hidden = bool(attrs) and HIDDEN.search(attrs) is not None
+        is_hidden = is_hidden_by(attrs)
         names = names_of(tag, attrs) if attrs else (tag,)
         stack.append((tag, names, is_hidden))
         links += tag == "a"
