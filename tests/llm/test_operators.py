@@ -266,6 +266,16 @@ def test_only_hiding_attributes_hide_text():
     assert [x for x in gone if not all(b.hidden for b in blocks(f"<div {x}><p>hello</p></div>"))] == []
 
 
+def test_raw_elements_end_where_they_end():
+    from veilspark.llm.html_blocks import blocks
+
+    text = lambda h: " ".join(b.text for b in blocks(h))
+    for head in ('<svg-icon name="x"></svg-icon>', "<title-bar></title-bar>", "<select-box>", "<template-x>", "<object-view>", '<svg class="i"/>', "<math/>", "<select>", "<object>", "<noscript>", "<svg>", "<svg><path/></svg>", "<script>x</script>", "<title>x</title>"):
+        assert text(f"{head}<article>hello</article>") == "hello", head
+    assert [b.text for b in blocks("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> <svg><text>no</text></svg>holds</p>")] == ["so x=1 holds"]
+    assert text("<p>a</p><script>b<p>c</p>") == "a" and text("<p>a</p><style>b") == "a"
+
+
 def test_labeller_held_out():
     from veilspark.llm.html_lstm import trained
     from veilspark.llm.train_extractor import Maker, accuracy

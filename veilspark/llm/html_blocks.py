@@ -3,25 +3,28 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
 
-#: Elements whose content is no text, elements that stand alone, and elements that don't end a block (fixed values of HTML).
-RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "math", "object", "select")
+#: Elements whose content is no text, those of them that reach to the end of the page if they are left open, elements that
+#: stand alone, and elements that don't end a block (fixed values of HTML).
+RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "object", "select")
+TO_THE_END = frozenset(("script", "style", "textarea", "title"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup svg time tt u var wbr math maction menclose merror mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation".split())
 #: An open element that a new one of the same group closes (a <p> left open ends at the next block).
 CLOSES = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/][^>]*>"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 NAMED = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
@@ -54,6 +57,25 @@ def is_hidden_by(attrs: str) -> bool:
     return False
 
 
+def tokens(html: str) -> Iterator[re.Match]:
+    """The matches of TOKEN one after another, without raw elements. A raw element left open is a tag like others, but for TO_THE_END."""
+    at, left_open = 0, set()
+    while at < len(html):
+        m = TOKEN.match(html, at)
+        at = m.end()
+        name = (m["tag"] or "").lower()
+        if name in RAW_END and not m["close"] and not (name == "svg" and m["attrs"].rstrip().endswith("/")):
+            # What isn't closed from here on isn't closed further on either, so the page is searched once for it.
+            end = None if name in left_open else RAW_END[name].search(html, at)
+            if end:
+                at = end.end()
+                continue
+            if name in TO_THE_END:
+                return
+            left_open.add(name)
+        yield m
+
+
 def blocks(html: str | None) -> list[Block]:
     """The page's text blocks in order. White space inside a block is one space, character references are decoded."""
     out: list[Block] = []
@@ -79,7 +101,7 @@ def blocks(html: str | None) -> list[Block]:
         del stack[n:]
         path = tuple(x for _, names, _ in stack for x in names)
 
-    for m in TOKEN.finditer(html or ""):
+    for m in tokens(html or ""):
         text = m["text"]
         if text is not None:
             parts.append((text, links > 0))
