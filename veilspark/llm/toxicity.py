@@ -140,22 +140,34 @@ def _vectors(chosen: list[str]):
     return run
 
 
+def sizes(sample: DataFrame) -> dict[int, int]:
+    """Rows by label."""
+    return {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> OrdinalModel:
     """Fit to the labelled rows of docs (doc_id, text), labels (doc_id, toxic 0/1).
 
     Which labelled rows are in the sample depends on a hash of their doc_id alone. Rows with a null label, id or text are
-    left out. Without rows of both kinds the model has no weights and calls nothing toxic.
+    left out. The bound holds for rows, also where many share an id. Without rows of both kinds the model has no weights and calls nothing toxic.
     """
     ship(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).dropna()
     # The labels joined are at most sample_rows pairs of numbers, so they may be broadcast.
-    sample = stage(texts.join(F.broadcast(known), "doc_id").select("toxic", "text"), "labelled")
-    size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sample = stage(texts.join(F.broadcast(known), "doc_id").select("toxic", "text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t")), "labelled")
+    size = sizes(sample)
+    if sum(size.values()) > config.sample_rows:
+        # Rows that repeat an id would exceed the bound: repeated texts count once, and the first rows by the two hashes stay.
+        one = stage(sample.dropDuplicates(["h", "t"]), "labelled")
+        last = one.select("h", "t").orderBy("h", "t").limit(config.sample_rows).agg(F.max(F.struct("h", "t")).alias("x")).first()["x"]
+        sample = one.filter((F.col("h") < last["h"]) | (F.col("h") == last["h"]) & (F.col("t") <= last["t"]))
+        size = sizes(sample)
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
         return OrdinalModel({}, np.zeros(GRADES - 1))
+    sample = sample.select("toxic", "text")
     stats = sample.mapInArrow(_statistics, "feature string, toxic_rows long, clean_rows long").groupBy("feature").agg(F.sum("toxic_rows").alias("a"), F.sum("clean_rows").alias("b"))
     p, q = F.col("a") / n1, F.col("b") / n0
     mean = (F.col("a") + F.col("b")) / (n1 + n0)
