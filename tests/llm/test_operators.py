@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm import decontamination as dc
 from veilspark.llm import golay, html_extraction, line_dedup, mixing, simhash, substring_dedup, token_counts, toxicity, url_filters
-from veilspark.llm.common import work_dir
+from veilspark.llm.common import row_keyed, work_dir
 from veilspark.llm.components import connected_components
 from veilspark.llm.exact_dedup import DigestIndex, exact_dedup
 
@@ -66,16 +66,26 @@ def test_mixing_against_brute_force(spark):
 def test_mixing_writes_the_words_of_its_blocks(spark):
     r = random.Random(15)
     rows = [(None if i % 9 == 0 else i // 2, words(r, r.choice([0, 1, 7, 120])).replace(" ", " \n", 3), "en", r.choice("abc"), 0, "") for i in range(80)]
-    sizes, plan, taken = mixing.mix(spark.createDataFrame(rows, DOCS), mixing.MixConfig(block_words=16, shard_words=256))
-    text = {x.row: x.text.split() for x in sizes.collect()}
+    docs = row_keyed(spark.createDataFrame(rows, DOCS), "row")
+    sizes, plan, taken = mixing.mix(docs, mixing.MixConfig(block_words=16, shard_words=256))
+    text = {x.row: x.text.split() for x in docs.collect()}
     assert sorted(map(" ".join, text.values())) == sorted(" ".join(t.split()) for _, t, *_ in rows)
     due = {(x.shard, x.sid, x.epoch, x.block): x.n_words for x in mixing.slots(plan, mixing.MixConfig(block_words=16, shard_words=256)).collect()}
-    got = mixing.blocks(sizes, taken).collect()
+    got = mixing.blocks(docs, taken).collect()
     assert {(x.shard, x.sid, x.epoch, x.block): len(x.text.split(" ")) for x in got} == due and len(got) == len(due)
     for x in got:
         assert x.text.split(" ") == [w for p in x.pieces for w in text[p.row][p["first"] : p["first"] + p.n_words]] and x.n_words == due[x.shard, x.sid, x.epoch, x.block]
 
 
+def test_mixing_does_not_depend_on_the_partitioning(spark):
+    r = random.Random(16)
+    rows = [(None if i % 9 == 0 else i, words(r, r.choice([0, 1, 7, 120])), "en", r.choice("abc"), 0, "") for i in range(120)]
+    docs = spark.createDataFrame(rows, DOCS)
+    key = lambda d: sorted(((x.doc_id, x.size, x.source_size, x.target, x.taken) for x in mixing.mixed_documents(d, mixing.MixConfig(block_words=16)).collect()), key=str)
+    one = key(docs.coalesce(1))
+    assert one == key(docs.repartition(7)) == key(docs.repartition(41))
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000])
 def test_permutation(spark, n):
     d = mixing.keyed(spark.range(n).withColumn("n", F.lit(n).cast("long")).withColumn("key", F.lit(5).cast("long")), "n", "key")
@@ -108,6 +118,21 @@ def test_simhash_against_brute_force(spark):
     assert simhash.simhash_components(frame(spark, [])).count() == 0
 
 
+def test_simhash_links_through_rows_without_an_id(spark):
+    r = random.Random(17)
+    base = words(r, 400).split()
+    texts, last = [" ".join(base)], simhash.fingerprint(" ".join(base).encode())
+    while len(texts) < 3:  # a chain: each within 3 bits of the one before, the last over 3 bits from the first
+        more = [*texts[-1].split(), words(r, 1)]
+        more[r.randrange(len(more))] = words(r, 1)
+        fp, first = simhash.fingerprint(" ".join(more).encode()), simhash.fingerprint(texts[0].encode())
+        if 1 <= (fp ^ last).bit_count() <= 3 and (len(texts) == 1 or (fp ^ first).bit_count() > 3):
+            texts, last = [*texts, " ".join(more)], fp
+    got = simhash.simhash_components(frame(spark, [(5, texts[0]), (None, texts[1]), (9, texts[2]), (None, words(r, 90))])).collect()
+    assert sorted(((x.doc_id, x.component_id) for x in got), key=str) == [(5, 5), (9, 5), (None, 5), (None, None)]
+    assert len({x.component for x in got}) == 2
+
+
 def test_simhash_blocks_lose_no_link(spark):
     r = random.Random(4)
     fps = list({(r.getrandbits(64) & ~0xFF) if k % 40 == 0 else 0xABCDEF << 20 ^ 1 << r.randrange(64) ^ 1 << r.randrange(64) for k in range(300)})

@@ -57,7 +57,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, key: str | None = None) ->
     that the index already holds keeps the index's doc_id and every row of the batch with it goes.
     Of rows that repeat a doc_id with the same text, exactly one is kept. A null doc_id stays
     only where no row of its group has an id. Empty input gives empty output; other columns are ignored,
-    but for ``key``, a column of distinct longs that tells a row's verdict from those of equal rows: it is returned too.
+    but for ``key``, a column of distinct values that tells a row's verdict from those of equal rows: it is returned too.
     """
     row = F.monotonically_increasing_id() if key is None else F.col(key)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), row.alias("row"))

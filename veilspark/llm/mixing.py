@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import WORD, stage, text_or_empty
+from veilspark.llm.common import WORD, row_keyed, stage, text_or_empty
 
 #: Odd multipliers of the permutation's rounds (fixed values).
 ROUND_MULTIPLIERS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
@@ -36,13 +36,13 @@ class MixConfig:
     #: packing runs in parallel within so many chunks of a source
     chunks: int = 1024
     #: slots that one task row expands to
-    slots_per_row: int = 4096
+    slots_per_row: int = 1024
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, source, text, size): size counts the words of the whole text, null text has none."""
+    """(row, doc_id, source, size, hash) of docs with a row key: size counts the words of the whole text, null text has none."""
     n = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_or_empty().alias("text"), n.alias("size")).withColumn("row", F.monotonically_increasing_id())
+    return docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n.alias("size"), F.xxhash64(text_or_empty()).alias("hash"))
 
 
 def source_plan(sizes: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
@@ -96,14 +96,15 @@ def packed(sizes: DataFrame, plan: DataFrame, config: MixConfig = MixConfig()) -
     """Pieces of documents in blocks: sid, block, row, doc_id, at and first (first word's place in the block and in the document), n_words.
 
     The place of a document in its source is a two-level prefix sum: over at most ``chunks`` chunk totals of
-    a source, then within a chunk, so that no task orders a whole source.
+    a source, then within a chunk, so that no task orders a whole source. Chunk and order follow from id and text, so
+    that the same rows in another partitioning are packed alike (rows that agree in both may change places).
     """
     docs = sizes.join(plan.select("sid", F.col("source").alias("s2")), F.col("source").eqNullSafe(F.col("s2"))).filter("size > 0")
-    docs = docs.select("sid", "row", "doc_id", "size", F.pmod(F.xxhash64("row", F.lit(config.seed)), F.lit(config.chunks)).alias("chunk"))
+    docs = docs.select("sid", "row", "doc_id", "size", "hash", F.pmod(F.xxhash64("doc_id", "hash", F.lit(config.seed)), F.lit(config.chunks)).alias("chunk"))
     totals = docs.groupBy("sid", "chunk").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("sid", "chunk", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
-    within = Window.partitionBy("sid", "chunk").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("sid", "chunk").orderBy("doc_id", "hash", "row").rowsBetween(Window.unboundedPreceding, -1)
     docs = docs.withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["sid", "chunk"])
     b = F.lit(config.block_words).cast("long")
     docs = docs.withColumn("start", F.col("start") + F.col("base")).withColumn("end", F.col("start") + F.col("size"))
@@ -130,7 +131,8 @@ def slots(plan: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     p = p.withColumn("slots", F.ceil(F.col("due") / b).cast("long")).withColumn("key", F.xxhash64("sid", "epoch", F.lit(config.seed)))
     p = keyed(p, "full", "key")
     p = p.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(config.slots_per_row).cast("long"))))
-    p = p.repartition("sid", "epoch", "from")
+    # With the number named, Spark doesn't merge the few rows into one task before they expand.
+    p = p.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "epoch", "from")
     s = p.withColumn("k", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + config.slots_per_row, F.col("slots")) - 1)))
     s = permuted(s, "k", "full", "shuffled")
     # The last, shorter block (or the only one) comes last in its epoch.
@@ -140,13 +142,13 @@ def slots(plan: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
 
 
 def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Mix docs (doc_id, text, source) to the weights.
+    """Mix docs (row, doc_id, text, source; row as from :func:`common.row_keyed`) to the weights.
 
     Returns (sizes, plan, taken): sizes as :func:`sized`; plan as :func:`source_plan`; taken has one row for
     each piece of a document in each slot: shard, sid, epoch, block, row, doc_id, at, first, n_words (words that the
     mix takes, from ``first`` of the document and ``at`` of the block on). No document is taken more than ``max_epochs`` times in whole. Null and
     empty texts have size 0 and are never taken; a null source is a source of its own, after all others; repeated
-    rows count as rows of their own; no documents give no rows. Reruns agree.
+    rows count as rows of their own; very long texts are read whole; no documents give no rows. Reruns agree, in any partitioning.
     """
     sizes = stage(sized(docs), "sizes")
     plan = stage(source_plan(sizes, config), "plan")
@@ -158,15 +160,15 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> tuple[DataFrame, Da
     return sizes, plan, taken.select("shard", "sid", "epoch", "block", "row", "doc_id", "at", "first", "n_words")
 
 
-def blocks(sizes: DataFrame, taken: DataFrame) -> DataFrame:
+def blocks(docs: DataFrame, taken: DataFrame) -> DataFrame:
     """The mix itself, one row for each block drawn: shard, sid, epoch, block, n_words, text, pieces (array of at, row, doc_id, first, n_words).
 
-    text is the block's words with a space between; sizes and taken are :func:`mix`'s. A document is cut into words once, and
+    text is the block's words with a space between; docs is :func:`mix`'s argument, and taken its result. A document is cut into words once, and
     its pieces are cut from them before they are shuffled to their blocks.
     """
     piece = F.struct("shard", "sid", "epoch", "block", "at", "first", "n_words")
     wanted = taken.groupBy("row").agg(F.collect_list(piece).alias("wanted"))  # at most the pieces of a document in each epoch
-    docs = sizes.select("row", "doc_id", "text").join(wanted.hint("merge"), "row")
+    docs = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(wanted.hint("merge"), "row")
 
     def cut(words):
         return F.transform("wanted", lambda x: F.struct(x.alias("p"), F.slice(words, (x["first"] + 1).cast("int"), x["n_words"].cast("int")).alias("words")))
@@ -184,10 +186,11 @@ def blocks(sizes: DataFrame, taken: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """One row per document: doc_id, size, source_size, target (its source's), taken (words of it in the blocks written)."""
+    docs = row_keyed(docs.select("doc_id", "text", "source"), "row")
     sizes, plan, taken = mix(docs, config)
-    written = stage(blocks(sizes, taken), "blocks").select(F.explode("pieces").alias("p"))
+    written = stage(blocks(docs, taken), "blocks").select(F.explode("pieces").alias("p"))
     per_row = written.groupBy("p.row").agg(F.sum("p.n_words").alias("taken"))
-    out = sizes.drop("text").join(plan.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).join(per_row, "row", "left")
+    out = sizes.join(plan.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).join(per_row, "row", "left")
     return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from veilspark.llm.common import ship, stage
 from veilspark.llm.components import connected_components
@@ -49,16 +50,16 @@ def fingerprint(text: bytes, words: int = 3, at_once: int = 1 << 15) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
+        texts = batch.column(0).cast(pa.binary())
         found = np.array([fingerprint(t.as_py() or b"") for t in texts], dtype="<u8").view("<i8")
-        yield pa.record_batch([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+        yield pa.record_batch([pa.array(found, pa.int64()), *batch.columns[1:]], names=["fp", *batch.schema.names[1:]])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row of docs; fp holds the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
+    """(fp, doc_id, and the columns named by keys) of every row of docs; fp holds the fingerprint's 64 bits as a signed long."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *keys)
+    return rows.mapInArrow(_fingerprints, StructType([StructField("fp", LongType()), *rows.schema.fields[1:]]))
 
 
 def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +80,7 @@ def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fps = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8")
         rows, keys = keys_of(fps.view("<u8"))
-        yield pa.record_batch([pa.array(keys), pa.array(fps[rows]), batch.column(1).take(pa.array(rows))], names=["key", "fp", "rep"])
+        yield pa.record_batch([pa.array(keys), pa.array(fps[rows])], names=["key", "fp"])
 
 
 def forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -106,10 +107,10 @@ def _linked(most: int):
             u, v = [], []
             lists = batch.column(0)
             ends, flat = lists.offsets.to_numpy(), lists.values
-            fp = flat.field("fp").to_numpy(zero_copy_only=False).astype("<i8").view("<u8")
-            rep = flat.field("rep").to_numpy(zero_copy_only=False)
+            ids_of = flat.to_numpy(zero_copy_only=False).astype("<i8")
+            fp = ids_of.view("<u8")
             for a, b in zip(ends[:-1], ends[1:], strict=True):
-                own, ids = fp[a:b], rep[a:b]
+                own, ids = fp[a:b], ids_of[a:b]
                 if b - a == 2:
                     pairs = [(0, 1)] if (int(own[0]) ^ int(own[1])).bit_count() <= most else []
                 else:
@@ -122,35 +123,39 @@ def _linked(most: int):
 
 
 def links(distinct: DataFrame, most: int = 3, block: int = 2048) -> DataFrame:
-    """distinct (fp, rep), each fp once -> links (u, v) between the rep of fingerprints, enough for every component.
+    """distinct (fp), each fp once -> links (u, v) between fingerprints, enough for every component.
 
     Exact: every key with several fingerprints is compared in whole, large ones block by block.
     """
     if most > 3:
         raise ValueError("the keys find pairs with up to 3 differing bits")
-    filed = stage(distinct.mapInArrow(_filed, "key long, fp long, rep long"), "keys")
+    filed = stage(distinct.select("fp").mapInArrow(_filed, "key long, fp long"), "keys")
     sizes = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     n_blocks = F.ceil(F.col("n") / block).cast("long")
     rows = filed.join(sizes.select("key", n_blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
-    met = rows.groupBy("key", "p", "q").agg(F.collect_list(F.struct("fp", "rep")).alias("group")).filter("size(group) > 1")
+    met = rows.groupBy("key", "p", "q").agg(F.collect_list("fp").alias("group")).filter("size(group) > 1")
     return met.select("group").mapInArrow(_linked(most), "u long, v long")
 
 
-def simhash_components(docs: DataFrame, most: int = 3) -> DataFrame:
-    """doc_id, fp, component_id for every row of docs (doc_id, text).
+def simhash_components(docs: DataFrame, *keys: str, most: int = 3) -> DataFrame:
+    """doc_id, fp, component_id, component, and the columns named by keys, for every row of docs (doc_id, text).
 
     component_id is the smallest doc_id that links (at most ``most`` differing bits) lead to, the row's own
-    included. Null and empty texts have fingerprint 0 and link like others; repeated rows each give a row.
-    A null doc_id names no component: such a row carries the component of its fingerprint, or null if no row with an
-    id has that fingerprint. No rows give no rows; other columns are ignored.
+    included. Null and empty texts have fingerprint 0 and link like others; repeated rows each give a row; very long texts
+    are read whole. A row with a null doc_id links like others, but its id names no component: where no row of a component has
+    an id, component_id is null. component is a fingerprint that names the component in any case. No rows give no rows; other
+    columns are ignored.
     """
-    rows = stage(fingerprints(docs), "fingerprints")
-    distinct = stage(rows.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    rows = stage(fingerprints(docs, *keys), "fingerprints")
+    distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = connected_components(links(distinct, most))
-    named = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(stage(named, "named"), "fp", "left").select("doc_id", "fp", "component_id")
+    # The nodes are fingerprints; a component's id is the least doc_id of its nodes.
+    of = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = stage(of.select("fp", "component").join(ids, "component"), "named")
+    return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id", "component", *keys)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
