@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import ship, stage, table, work_dir
+from veilspark.llm.common import row_keyed, ship, stage, table, work_dir
 from veilspark.llm.decontamination import leaks
 from veilspark.llm.exact_dedup import DigestIndex, exact_dedup
 from veilspark.llm.mixing import mixed_documents
@@ -22,48 +22,51 @@ ROW = "_pipeline_row"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the severity model, fitted to the labelled rows, doesn't call toxic."""
+    """Documents that the severity model, fitted to the labelled rows, doesn't call toxic.
+
+    Null and empty texts stay; repeated rows stay or go together; very long texts are scored whole; without labels all stay.
+    """
     ship(spark)
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     return docs.filter(~severity(model, F.col("text").cast("string"))["toxic"])
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays, the one with the smallest doc_id (a null one only where no row of the group has an id)."""
-    rows = keyed(docs)
+    """Of equal texts one row stays, the one with the smallest doc_id (a null one only where no row of the group has an id).
+
+    Null and empty texts are equal texts, and repeated rows are copies; no rows give no rows.
+    """
+    rows = row_keyed(docs, ROW)
     found = exact_dedup(rows.select("doc_id", "text", ROW), DigestIndex(spark, work_dir(spark, "index")), ROW)
     return without(rows, found.filter("NOT kept").select(ROW)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each SimHash component stays, the one with the smallest doc_id (a null one only where no row has an id)."""
-    rows = keyed(docs)
-    found = simhash_components(rows.select(F.col(ROW).alias("doc_id"), "text"))
-    found = stage(found.select(F.col("doc_id").alias(ROW), "component_id").join(rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id")), ROW), "components")
+    """One row of each SimHash component stays, the one with the smallest doc_id (a null one only where no row has an id).
+
+    Null and empty texts have one fingerprint and are copies of each other, and so are repeated rows; no rows give no rows.
+    """
+    rows = row_keyed(docs, ROW)
+    found = stage(simhash_components(rows, ROW).select(ROW, "doc_id", "component"), "components")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(ROW).alias("r"))
-    first = found.groupBy("component_id").agg(F.min(order)["r"].alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    first = found.groupBy("component").agg(F.min(order)["r"].alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     # Only rows of components with several can go, and each of these but the first does.
-    gone = found.join(first, "component_id").filter(F.col(ROW) != F.col("first"))
+    gone = found.join(first, "component").filter(F.col(ROW) != F.col("first"))
     return without(rows, gone.select(ROW)).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no item of the benchmark."""
+    """Documents that contain no item of the benchmark; null and empty texts contain none; repeated rows stay or go together."""
     return docs.filter(F.size(leaks(docs, table(spark, sf_dir, "benchmark"))) == 0)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of what is left: doc_id, size, source_size, target, taken."""
+    """The mix of what is left: doc_id, size, source_size, target, taken. Null and empty texts have size 0; repeated rows each give a row."""
     return mixed_documents(docs)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key of each row, written to the shared folder so that the key stays the same."""
-    return stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
-
-
 def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """rows (see :func:`keyed`) without those whose key is in gone: few keys beside all texts."""
+    """rows (see :func:`row_keyed`) without those whose key is in gone: few keys beside all texts."""
     return rows.join(stage(gone, "dropped"), ROW, "left_anti")
 
 
