@@ -201,6 +201,15 @@ def test_line_dedup_against_brute_force(spark):
     assert got == kept
 
 
+def test_line_dedup_of_repeated_rows(spark):
+    r = random.Random(18)
+    a, b = words(r, 12), words(r, 12)
+    near = " ".join([*a.split()[:-1], "zz"])
+    docs = frame(spark, [(1, f"{a}\n{a}\n{b}"), (1, f"{a}\n{a}\n{b}"), (None, f"{b}\nlast"), (2, near), (None, None)])
+    got = sorted(((x.doc_id, x.text) for x in line_dedup.deduplicated(docs).collect()), key=str)
+    assert got == sorted([(1, f"{a}\n{b}"), (1, ""), (None, "last"), (2, ""), (None, "")], key=str)
+
+
 def test_url_filter_as_of(spark):
     events = spark.createDataFrame([("l", "Bad.com", "add", 10), ("l", "bad.com", "remove", 20), ("l", "bad.com", "add", 30), ("m", "x.org/fr", "add", 0), ("l", None, "add", 1), ("l", "t.com", "add", 5), ("l", "t.com", "remove", 5)], "list string, key string, action string, at int")
     caps = spark.createDataFrame([(1, "http://www.bad.com/a", 9), (2, "http://www.bad.com/a", 10), (3, "https://bad.com:80", 20), (4, "http://bad.com", 31), (5, "http://notbad.com", 31), (6, "http://x.org/fr/1", 1), (7, "http://x.org/en/1", 1), (8, None, 1), (9, "http://t.com", 6), (10, "http://bad.com", None)], "page_id long, url string, fetched int")
