@@ -5,27 +5,30 @@ needs a shuffle of all suffixes; here only suffixes that can have a partner are
 
 1. Anchors. Every window of LENGTH bytes is owned by its gram with the least hash, so equal windows have equal owners at the same
    place. An owner's windows are neighbours; together they are a snippet. About one snippet per 80 bytes.
-2. Settled snippets. Where a snippet as a whole occurs twice, all its windows are repeated. (Identity: the 64-bit hash
-   of the gram and the 64-bit hash of the whole snippet.) Copies within a batch are merged before the shuffle.
+2. Settled snippets. Where a snippet as a whole occurs twice, all its windows are repeated. Snippets are the same if 128 bits
+   of BLAKE2b of their bytes are, a digest for which no two different inputs are known. Plain rows are shuffled and sorted by gram and
+   digest, and a row looks at its neighbours. A task sends one row for each snippet of AT_ONCE; the other copies, known
+   to be repeated, go to other places, so a snippet with any number of copies is no hot key.
 3. Open snippets share their gram with others that differ elsewhere. Their suffixes are sorted, per gram and place of the gram:
    a bottom-up mergesort whose comparisons find the common extension of two suffixes by binary search over prefix
    polynomial hashes. Neighbours with an extension of LENGTH bytes are verified byte by byte; if a hash has lied, the class is
    grouped by its bytes instead.
-4. Grams with more than HOT different snippets would be too much for one task. Their windows are counted by hash in
-   a shuffle of their own, which is as exact and splits by window.
-5. The spans found meet their texts again, and what is left is hashed.
+4. The windows of a gram with more than HOT different snippets, too much for one task, meet by their own digest of 128 bits
+   in a shuffle that splits by window. This changes the route and not the result.
+5. The spans found meet their texts again, and what is left is hashed. A text is named by its file and its place there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import ship, stage, table
+from veilspark.llm.common import row_keyed, ship, stage, table
 
 LENGTH = 200
 GRAM = 40
@@ -34,9 +37,9 @@ BASE = 0x9E3779B97F4A7C15
 SCRAMBLE = 0xD6E8FEB86659FD93
 PIECE = 1 << 19
 HOT = 4096
-CHUNK = 1 << 22
-#: Snippets that a task merges at a time.
-AT_ONCE = 1 << 19
+#: Bytes of open snippets that a task compares at a time, unless one gram has more; snippets that a task merges at a time.
+CHUNK = 1 << 20
+AT_ONCE = 1 << 16
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -104,66 +107,65 @@ def pieces(text: bytes) -> Iterator[tuple[int, np.ndarray]]:
         yield k, data[k : k + PIECE + LENGTH - 1]
 
 
+def digests(parts: Iterable[bytes]) -> np.ndarray:
+    """BLAKE2b of each part, 128 bits as two longs."""
+    return np.frombuffer(b"".join(blake2b(x, digest_size=16).digest() for x in parts), dtype="<i8").reshape(-1, 2)
+
+
 def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, text) -> snippets, equal ones of up to AT_ONCE at a time merged.
+    """(file, at, text) -> a row for each snippet: gram, the digest d1 and d2, file and at of its text, start, n, place, kind.
 
-    Of equal ones the first goes on to meet those of other tasks (salt 0). The others are known to be repeated; they
-    go in a row of their own, with a salt of its own, so that what later meets at one key is one place per AT_ONCE
-    snippets, whatever the number of copies.
+    kind is 0 for a snippet that occurs once in AT_ONCE, 1 for the first of several, and 2 for the others, whose
+    gram is a number of its own, as nothing has to meet them.
     """
 
-    def merged(found: list[tuple], turn: int) -> pa.RecordBatch:
-        gram, whole, row, first, n, place = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((first, row, whole, gram))
-        gram, whole = gram[order], whole[order]
-        new = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1])]))
-        end = np.append(new[1:], len(order))
-        several = np.flatnonzero(end - new > 1)
-        ends = np.concatenate([new + 1, end[several]])
-        starts = np.concatenate([new, new[several] + 1])
-        places = pa.StructArray.from_arrays([pa.array(row[order]), pa.array(first[order])], names=["row", "start"])
-        flat = np.concatenate([new, *(np.arange(a, b) for a, b in zip(new[several] + 1, end[several], strict=True))])
-        at = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(ends - starts)), pa.int32()), places.take(pa.array(flat)))
-        one = order[starts]
-        salt = np.zeros(len(starts), dtype=np.int64)
-        salt[len(new) :] = row[one[len(new) :]] ^ turn | 1
-        copies = np.concatenate([end - new, (end - new)[several]])
-        columns = [gram[starts].view(np.int64), whole[starts].view(np.int64), salt, n[one].astype(np.int32), place[one].astype(np.int32), copies]
-        return pa.record_batch([*(pa.array(c) for c in columns), at], names=["gram", "whole", "salt", "n", "place", "copies", "at"])
+    def merged(found: list[tuple]) -> pa.RecordBatch:
+        gram, d, file, row, first, n, place = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((d[:, 1], d[:, 0], gram))
+        same = (gram[order][1:] == gram[order][:-1]) & (d[order][1:] == d[order][:-1]).all(axis=1)
+        kind = np.zeros(len(order), dtype=np.int8)
+        kind[order[:-1][same]] = 1
+        kind[order[1:][same]] = 2
+        own = (np.arange(len(gram), dtype=np.uint64) + (row.astype(np.uint64) << np.uint64(20)) + first.astype(np.uint64)) * np.uint64(SCRAMBLE)
+        gram = np.where(kind == 2, own, gram)
+        columns = [gram.view(np.int64), d[:, 0], d[:, 1], file, row, first, n.astype(np.int32), place.astype(np.int32), kind]
+        return pa.record_batch([pa.array(c) for c in columns], names=["gram", "d1", "d2", "file", "at", "start", "n", "place", "kind"])
 
     found: list[tuple] = []
-    held = turn = 0
+    held = 0
     for batch in batches:
-        for row, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-            for k, piece in pieces(text.as_py()):
-                prefix = prefix_hashes(piece)
-                a, first, last, gram = anchors(piece, prefix)
-                place = (a - first).astype(np.uint64)
-                whole = span_hash(prefix, first, last + LENGTH) * np.uint64(SCRAMBLE) + place * np.uint64(BASE)
-                found.append((gram, whole, np.full(len(a), row), first + k, last - first + 1, a - first))
+        for file, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+            data = text.as_py()
+            for k, piece in pieces(data):
+                a, first, last, gram = anchors(piece, prefix_hashes(piece))
+                d = digests(data[i:j] for i, j in zip((first + k).tolist(), (last + k + LENGTH).tolist(), strict=True))
+                found.append((gram, d, np.full(len(a), file), np.full(len(a), row), first + k, last - first + 1, a - first))
                 held += len(a)
                 if held >= AT_ONCE:
-                    yield merged(found, turn)
-                    found, held, turn = [], 0, turn + 2
+                    yield merged(found)
+                    found, held = [], 0
     if found:
-        yield merged(found, turn)
+        yield merged(found)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, wanted snippets of the text) -> the snippets' bytes, or the hashes of their windows for hot grams."""
+    """(text, wanted snippets of the text) -> the snippets' bytes, or the digests of their windows for hot grams."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.binary()))
+    names = ["gram", "file", "at", "start", "n", "place", "open", "bytes", "digests"]
     for batch in batches:
         out: list[tuple] = []
-        for row, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
+        held = 0
+        for text, wanted in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), strict=True):
             data = text.as_py()
             for w in wanted:
-                part = data[w["start"] : w["start"] + w["n"] + LENGTH - 1]
-                hashes = None
+                part, each = data[w["start"] : w["start"] + w["n"] + LENGTH - 1], None
+                held += len(part)
                 if w["hot"]:
-                    at = np.arange(w["n"])
-                    hashes, part = span_hash(prefix_hashes(np.frombuffer(part, dtype=np.uint8)), at, at + LENGTH).view(np.int64).tolist(), None
-                out.append((w["gram"], row, w["start"], w["n"], w["place"], w["open"], part, hashes))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.int64()))
-        names = ["gram", "row", "start", "n", "place", "open", "bytes", "hashes"]
+                    each, part = [blake2b(part[i : i + LENGTH], digest_size=16).digest() for i in range(w["n"])], None
+                out.append((w["gram"], w["file"], w["at"], w["start"], w["n"], w["place"], w["open"], part, each))
+            if held >= CHUNK:
+                yield pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+                out, held = [], 0
         yield pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
 
@@ -278,25 +280,25 @@ def runs(mask: np.ndarray, owner: np.ndarray, j: np.ndarray) -> tuple[np.ndarray
 
 
 def _sorted_snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Snippets in order of their grams -> spans (row, start, end) of the open ones' repeated windows."""
+    """Snippets in order of their grams -> spans (file, at, start, end) of the open ones' repeated windows."""
 
     def done(rows: list[tuple]) -> pa.RecordBatch:
-        gram, row, start, n, place, is_open = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(6))
-        mask = repeated([r[6] for r in rows], gram, n, place)
+        gram, file, row, start, n, place, is_open = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(7))
+        mask = repeated([r[7] for r in rows], gram, n, place)
         owner = np.repeat(np.arange(len(n)), n)
         j = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
         o, first, last = runs(mask & (is_open[owner] == 1), owner, j)
-        return pa.record_batch([pa.array(row[o]), pa.array(start[o] + first), pa.array(start[o] + last + LENGTH)], names=["row", "start", "end"])
+        return pa.record_batch([pa.array(file[o]), pa.array(row[o]), pa.array(start[o] + first), pa.array(start[o] + last + LENGTH)], names=["file", "at", "start", "end"])
 
     rows: list[tuple] = []
     held = 0
     for batch in batches:
-        for r in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+        for r in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
             if held >= CHUNK and r[0] != rows[-1][0]:
                 yield done(rows)
                 rows, held = [], 0
             rows.append(r)
-            held += len(r[6])
+            held += len(r[7])
     if rows:
         yield done(rows)
 
@@ -321,29 +323,33 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
-    """rows (row, text) -> (row, start, end): byte spans that cover all repeated windows; spans may overlap."""
-    found = rows.mapInArrow(_snippets, "gram long, whole long, salt long, n int, place int, copies long, at array<struct<row:long,start:long>>")
-    merged = found.groupBy("gram", "whole", "salt").agg(F.first("n").alias("n"), F.first("place").alias("place"), F.min(F.col("at")[0]).alias("one"), F.sum("copies").alias("copies"), F.flatten(F.collect_list("at")).alias("at"))
-    merged = stage(merged, "snippets")
-    settled = merged.filter("copies > 1").select("n", F.explode("at").alias("x"))
-    settled = settled.select("x.row", "x.start", (F.col("x.start") + F.col("n") - 1 + LENGTH).alias("end"))
-
-    by_whole = merged.filter("salt = 0").select("gram", "n", "place", "one", "copies")
-    several = by_whole.groupBy("gram").agg(F.count(F.lit(1)).alias("different")).filter("different > 1")
-    wanted = by_whole.join(several, "gram")
-    wanted = wanted.select(F.col("one.row").alias("row"), F.struct("gram", F.col("one.start").alias("start"), "n", "place", (F.col("copies") == 1).alias("open"), (F.col("different") > hot).alias("hot")).alias("w"))
-    of_row = wanted.groupBy("row").agg(F.collect_list("w").alias("wanted"))  # at most the snippets of a text
-    cut = rows.join(of_row, "row").select("row", "text", "wanted").mapInArrow(_cut, "gram long, row long, start long, n int, place int, open boolean, bytes binary, hashes array<long>")
+    """rows (file, at, text) -> (file, at, start, end): byte spans that cover all repeated windows; spans may overlap."""
+    found = rows.select("file", "at", "text").mapInArrow(_snippets, "gram long, d1 long, d2 long, file long, at long, start long, n int, place int, kind byte")
+    of_gram = Window.partitionBy("gram").orderBy("d1", "d2", "kind")
+    every = of_gram.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    digest, kind = F.struct("d1", "d2"), F.col("kind")
+    met = found.select("gram", "file", "at", "start", "n", "place", "kind", digest.alias("d"), F.lag(digest).over(of_gram).alias("before"), F.lead(digest).over(of_gram).alias("after"), F.first(digest).over(every).alias("least"), F.last(digest).over(every).alias("most"))
+    twice = (kind > 0) | F.coalesce(F.col("d") == F.col("before"), F.lit(False)) | F.coalesce(F.col("d") == F.col("after"), F.lit(False))
+    # One row of each snippet whose gram has others stands for it.
+    stands = (kind < 2) & ~F.coalesce(F.col("d") == F.col("before"), F.lit(False)) & (F.col("least") != F.col("most"))
+    met = met.select("gram", "file", "at", "start", "n", "place", twice.alias("twice"), stands.alias("stands")).filter("twice OR stands")
+    met = stage(met, "snippets")
+    settled = met.filter("twice").select("file", "at", "start", (F.col("start") + F.col("n") - 1 + LENGTH).alias("end"))
+
+    wanted = met.filter("stands")
+    many = wanted.groupBy("gram").agg(F.count(F.lit(1)).alias("different")).filter(F.col("different") > hot).select("gram", F.lit(True).alias("hot"))
+    wanted = wanted.join(many, "gram", "left")
+    wanted = wanted.select("file", "at", F.struct("gram", "file", "at", "start", "n", "place", (~F.col("twice")).alias("open"), F.coalesce("hot", F.lit(False)).alias("hot")).alias("w"))
+    of_row = wanted.groupBy("file", "at").agg(F.collect_list("w").alias("wanted"))  # at most the snippets of a text
+    cut = rows.join(of_row, ["file", "at"]).select("text", "wanted").mapInArrow(_cut, "gram long, file long, at long, start long, n int, place int, open boolean, bytes binary, digests array<binary>")
     cut = stage(cut, "cut")
 
-    some = cut.filter("bytes IS NOT NULL").select("gram", "row", "start", "n", "place", "open", "bytes").dropDuplicates(["gram", "row", "start"])
-    ordered = some.repartition("gram").sortWithinPartitions("gram")
-    compared = ordered.mapInArrow(_sorted_snippets, "row long, start long, end long")
+    some = cut.filter("bytes IS NOT NULL").select("gram", "file", "at", "start", "n", "place", "open", "bytes")
+    compared = some.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_snippets, "file long, at long, start long, end long")
 
-    windows = cut.filter("bytes IS NULL").dropDuplicates(["gram", "row", "start"]).select("gram", "row", "start", "place", "open", F.posexplode("hashes").alias("j", "hash"))
-    windows = windows.withColumn("where", F.col("place") - F.col("j"))
-    twice = windows.groupBy("gram", "where", "hash").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    counted = windows.filter("open").join(twice, ["gram", "where", "hash"], "left_semi").select("row", (F.col("start") + F.col("j")).alias("start"), (F.col("start") + F.col("j") + LENGTH).alias("end"))
+    windows = cut.filter("bytes IS NULL").select("file", "at", "start", "open", F.posexplode("digests").alias("j", "digest"))
+    equal = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    counted = windows.filter("open").join(equal, "digest", "left_semi").select("file", "at", (F.col("start") + F.col("j")).alias("start"), (F.col("start") + F.col("j") + LENGTH).alias("end"))
     return settled.unionByName(compared).unionByName(counted)
 
 
@@ -351,16 +357,18 @@ def substring_dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Remove from each text (doc_id, text) the bytes that a repeated string of LENGTH bytes covers.
 
     Returns one row per row of docs: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the bytes left). Strings
-    are judged on the input. Null texts are empty; texts under LENGTH bytes lose nothing; repeated rows are repeats of each
-    other, so they lose all they have if long enough. No rows give no rows; other columns are ignored.
+    are judged on the input. Null texts are empty; texts under LENGTH bytes lose nothing; very long texts are read whole, piece
+    by piece; repeated rows are repeats of each other, so they lose all they have if long enough. No rows give no rows; other
+    columns are ignored.
     """
     ship(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(rows.select("row", "text"), hot)
+    rows = row_keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")), "row")
+    rows = rows.select("doc_id", "text", "row.file", "row.at")
+    spans = repeated_spans(rows.select("file", "at", "text"), hot)
     # At most one span for each of a text's own windows.
-    spans = stage(spans.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
-    return rows.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(_marked, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    spans = stage(spans.groupBy("file", "at").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    return rows.join(spans, ["file", "at"], "left").select("doc_id", "text", "spans").mapInArrow(_marked, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
