@@ -257,6 +257,40 @@ def test_decontamination_of_an_item_in_many_documents(spark):
     assert got == {(i, 5) for i, _ in hot} | {(300, 7)}
 
 
+def test_decontamination_recall_against_brute_force(spark):
+    """Every place of every text is held against every item by the checks alone; the search finds at least 0.9 of what they find."""
+    r, config = random.Random(19), dc.DecontaminationConfig()
+    common = [w * 2 for w in "ab cd ef gh ij kl mn op qr st uv wx yz".split()]  # words that all documents are full of
+    lexicon = common * 40 + words(r, 1500).split()
+    prose = lambda n, of: [r.choice(of) for _ in range(n)]
+    items = [prose(n, common if n % 4 == 0 else lexicon) for n in (8, 9, 12, 16, 17, 24, 31, 33, 48, 64, 65, 90, 100, 130, 150)]
+    docs = [prose(r.choice([20, 150, 400]), lexicon) for _ in range(60)]
+    for k in range(90):  # copies, and copies with words replaced, left out or put in
+        leak = list(items[k % len(items)])
+        for _ in range(r.choice([0, 0, 1, len(leak) // 8, len(leak) // 6])):
+            at = r.randrange(len(leak))
+            leak[at : at + r.choice([0, 1, 1])] = prose(r.choice([0, 1, 1]), lexicon)
+        docs.append([*prose(r.choice([0, 3, 40, 200]), lexicon), *leak, *prose(r.choice([0, 5, 90]), lexicon)])
+    want = set()
+    for i, words_of_doc in enumerate(docs):
+        for k, item in enumerate(items):
+            n = len(item)
+            for at in range(0, len(words_of_doc), max(1, n // 4)):
+                around = words_of_doc[at : at + n + n // 4]
+                if dc.lcs_length(item, around) / n >= config.lcs:
+                    want.add((i, k))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in dc.contaminated(frame(spark, [(i, " ".join(w)) for i, w in enumerate(docs)]), bench).collect()}
+    assert len(want) >= 80 and len(want & got) >= 0.9 * len(want)
+    assert {(60 + k, k % len(items)) for k in range(90) if " ".join(items[k % len(items)]) in " ".join(docs[60 + k])} <= got
+
+
+def test_passages_reach_to_the_end_of_an_item():
+    for n in (1, 63, 64, 65, 96, 97, 128, 130, 200):
+        starts = dc.passage_starts(n, 64)
+        assert {k for a in starts for k in range(a, min(n, a + 64))} == set(range(n)) and len(set(starts)) == len(starts)
+
+
 def test_decontamination_judges_every_window(spark):
     r = random.Random(13)
     item = words(r, 32).split()

@@ -1,43 +1,47 @@
 """Benchmark decontamination by latent semantic retrieval (operator 1).
 
-1. Corpus statistics: in how many documents each benchmark term occurs, over all documents.
-2. A latent space: distributed randomised SVD of the TF-IDF matrix of the benchmark's passages. Directions that no
+1. Terms: every text is cut into words once, and what is kept of it is where words of the benchmark stand and which; these
+   numbers are written to the shared folder, and all that follows reads them in place of the texts.
+2. Corpus statistics: in how many documents each benchmark term occurs, over all documents. No term is left out, however
+   common: its weight (idf) falls to 1 and no further, so an item that was copied to most documents is still found.
+3. A latent space: distributed randomised SVD of the TF-IDF matrix of the benchmark's passages. Directions that no
    benchmark passage has cannot tell a leak from other text, so the space is fitted to the passages searched for.
-3. Candidates: every document is read as overlapping windows of words; a window whose latent vector has a cosine of at least
-   ``cosine`` with a passage is compared further. All windows of all documents are searched, without an index to miss any.
-   Terms in more than ``most_documents`` of the documents are not in the space. An item with such words (it may itself be
-   copied to that many documents) is also sought by its words as they are: a window is compared further if it holds enough
-   of them to pass the checks, and is a candidate if a run of the item's length has that cosine over all terms.
-4. Checks: the longest common subsequence of the item's words and the words around the window, over the item's length, is at
+4. Candidates: a document that doesn't hold as many words of an item as the checks ask for can't pass them, and isn't searched for
+   it. The others are read as overlapping windows, of the least width in ``windows`` that holds the item's passage; a window whose
+   latent vector has a cosine of at least ``cosine`` with the passage is compared further. Every window of the whole text is.
+5. Checks: the longest common subsequence of the item's words and the words around the window, over the item's length, is at
    least ``lcs``; or, for paraphrases, at least ``lcs_paraphrase`` while the answer (a column, or else the item's
    last sentence) is found to ``answer`` as well. Items of under ``least_words`` words must occur word for word.
 
-The benchmark is the stated query set: it is taken in blocks of ``block_items`` items, whose model
-(terms x rank numbers) is what goes to the executors.
+The benchmark is the stated query set: it is taken in blocks of ``block_items`` items, whose models
+(terms x rank numbers) are what goes to the executors; all blocks read the same numbers in one pass.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from veilspark.llm.common import ship, table
+from veilspark.llm.common import ship, stage, table
 
 WORDS = re.compile(r"\w+")
+#: Rows, and terms in rows, that a Python worker holds at a time.
+ROWS, TERMS = 1024, 1 << 20
 
 
 @dataclass(frozen=True)
 class DecontaminationConfig:
-    window: int = 64
-    stride: int = 32
+    #: widths of windows, in words; a window moves on by half its width
+    windows: tuple[int, ...] = (16, 32, 64)
     #: words of an item's passage; longer items have several passages
     passage: int = 64
     rank: int = 256
@@ -47,9 +51,7 @@ class DecontaminationConfig:
     lcs_paraphrase: float = 0.6
     answer: float = 0.8
     least_words: int = 8
-    #: terms in a greater share of the documents are left out of the latent space; items with such terms are also sought by their words
-    most_documents: float = 0.05
-    block_items: int = 4096
+    block_items: int = 1024
     seed: int = 42
 
 
@@ -57,9 +59,9 @@ def words_of(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
-def lcs_length(a: list[str], b: list[str]) -> int:
+def lcs_length(a: Sequence, b: Sequence) -> int:
     """Length of the longest common subsequence, bit-parallel over a."""
-    where: dict[str, int] = {}
+    where: dict = {}
     for i, w in enumerate(a):
         where[w] = where.get(w, 0) | 1 << i
     full = (1 << len(a)) - 1
@@ -71,38 +73,32 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def contains_run(words: list[str], run: list[str]) -> bool:
-    return any(words[i : i + len(run)] == run for i in range(len(words) - len(run) + 1))
-
-
 @dataclass
 class Item:
     item_id: int
     words: list[str]
     answer: list[str]
 
-    def __post_init__(self) -> None:
-        self.counts = Counter(self.words)
-
 
 @dataclass
 class Model:
-    """A block of the benchmark: its items, the terms with their weighted latent vectors, and its passages in the latent space."""
-
-    items: list[Item]
-    terms: dict[str, int] = field(default_factory=dict)
-    latent: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.float32))
-    passages: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.float32))
-    owner: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    #: items of under least_words words
-    short: list[Item] = field(default_factory=list)
-    #: items with words that the space leaves out, and of the terms and these words the number, the idf and how often (words x items) each item has each
-    by_words: list[int] = field(default_factory=list)
-    rows: dict[str, int] = field(default_factory=dict)
-    idf: dict[str, float] = field(default_factory=dict)
-    held: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
-    #: words that each of by_words must share with a window's surroundings to pass the checks
-    least: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    """A block of the benchmark, with words as numbers of the vocabulary.
+
+    items: (item_id, words, answer); of the vocabulary's terms, term has the number in this block (-1: in no item) and latent
+    the weighted latent vectors; passages are rows of the latent space with the item that owns each and its width of window. The items
+    that have a term are posted[ends[term]:ends[term + 1]], and how often, times; an item needs a score of least to be looked for.
+    """
+
+    items: list[tuple[int, list[int], list[int]]]
+    term: np.ndarray
+    latent: np.ndarray
+    passages: np.ndarray
+    owner: np.ndarray
+    width: np.ndarray
+    ends: np.ndarray
+    posted: np.ndarray
+    times: np.ndarray
+    least: np.ndarray
 
 
 def last_sentence(text: str) -> str:
@@ -125,23 +121,63 @@ def item_blocks(benchmark: DataFrame, size: int) -> Iterator[list[Item]]:
         yield block
 
 
-def document_frequencies(docs: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int], int]:
-    """In how many documents each term of the vocabulary occurs, and the number of documents; over all rows."""
+def _tokenised(vocabulary: dict[str, int]):
+    """(text, ...) -> (id, gap, ...): the words of the vocabulary in each text, and how many words each stands behind the one before."""
 
-    ship(docs.sparkSession)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = vocabulary.get
+
+        def lists(parts: list[np.ndarray], ends: list[int]) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *parts]), pa.int32()))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        n = 0
         for b in batches:
-            n += len(b)
-            for t in b.column(0):
-                found.update(vocabulary.intersection(words_of(t.as_py())))
-        yield pa.record_batch([pa.array([*found, None], pa.string()), pa.array([*found.values(), n], pa.int64())], names=["term", "n"])
+            first, ends, ids, gaps = 0, [0], [], []
+            for k, t in enumerate(b.column(0)):
+                words = words_of(t.as_py())
+                found = np.fromiter(map(number, words, repeat(-1)), np.int32, len(words))
+                at = np.flatnonzero(found >= 0)
+                ids.append(found[at])
+                gaps.append(np.diff(at, prepend=-1).astype(np.int32))
+                ends.append(ends[-1] + len(at))
+                if k + 1 - first == ROWS or ends[-1] >= TERMS or k + 1 == len(b):
+                    part = b.slice(first, k + 1 - first)
+                    yield pa.record_batch([lists(ids, ends), lists(gaps, ends), *part.columns[1:]], names=["id", "gap", *part.schema.names[1:]])
+                    first, ends, ids, gaps = k + 1, [0], [], []
+
+    return run
+
+
+def tokenised(docs: DataFrame, vocabulary: dict[str, int], *keys: str) -> DataFrame:
+    """(id, gap, keys) of every row of docs, written to the shared folder: see :func:`_tokenised`."""
+    rows = docs.select(F.col("text").cast("string").alias("text"), *keys)
+    schema = StructType().add("id", ArrayType(IntegerType())).add("gap", ArrayType(IntegerType()))
+    for f in rows.schema.fields[1:]:
+        schema = schema.add(f)
+    return stage(rows.mapInArrow(_tokenised(vocabulary), schema), "terms")
+
+
+def document_frequencies(terms: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """In how many rows of terms (see :func:`tokenised`) each of size terms occurs, and the number of rows."""
 
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "term string, n long")
-    got = {r["term"]: r["n"] for r in parts.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # at most the benchmark's vocabulary
-    return got, got.pop(None, 0)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, n = np.zeros(size, np.int64), 0
+        for b in batches:
+            for k in range(0, len(b), ROWS):
+                part = b.column(0).slice(k, ROWS)
+                n += len(part)
+                row = np.repeat(np.arange(len(part)), part.value_lengths().to_numpy())
+                found += np.bincount(np.unique(row * size + part.flatten().to_numpy()) % size, minlength=size)
+        some = np.flatnonzero(found)
+        yield pa.record_batch([pa.array(np.append(some, -1)), pa.array(np.append(found[some], n))], names=["id", "n"])
+
+    got = terms.select("id").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # at most a row for each term of the benchmark
+    out, n = np.zeros(size, np.int64), 0
+    for i, x in zip(got.column("id").to_pylist(), got.column("n").to_pylist(), strict=True):
+        if i < 0:
+            n = x
+        else:
+            out[i] = x
+    return out, n
 
 
 def randomised_svd(rows: DataFrame, n_terms: int, rank: int, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,203 +214,160 @@ def randomised_svd(rows: DataFrame, n_terms: int, rank: int, rounds: int, seed:
     return v @ turn[:, order], np.sqrt(np.maximum(values[order], 0))
 
 
-def fit_model(spark: SparkSession, items: list[Item], df: dict[str, int], n_docs: int, config: DecontaminationConfig) -> Model:
-    """The latent space of a block of items, and what finds the items with words outside it."""
-    return with_words(latent_model(spark, items, df, n_docs, config), df, n_docs, config)
-
-
-def with_words(model: Model, df: dict[str, int], n_docs: int, config: DecontaminationConfig) -> Model:
-    """Add to model what :func:`candidates_by_words` needs."""
-    items = model.items
-    some = [k for k, i in enumerate(items) if len(i.words) >= config.least_words and not i.counts.keys() <= model.terms.keys()]
-    every = [*model.terms, *sorted({w for k in some for w in items[k].counts} - model.terms.keys())]
-    model.by_words, model.rows = some, {w: r for r, w in enumerate(every)}
-    model.short = [i for i in items if len(i.words) < config.least_words]
-    model.idf = {w: 1 + float(np.log((1 + n_docs) / (1 + df.get(w, 0)))) for w in every}
-    model.held = np.zeros((len(every), len(some)), np.float32)
-    for c, k in enumerate(some):
-        for w, n in items[k].counts.items():
-            model.held[model.rows[w], c] = n
-    model.least = np.array([min(config.lcs, config.lcs_paraphrase) * len(items[k].words) for k in some], np.float32) - 1e-3
-    return model
-
-
-def latent_model(spark: SparkSession, items: list[Item], df: dict[str, int], n_docs: int, config: DecontaminationConfig) -> Model:
-    """The latent space of a block of items."""
-    rare = sorted(w for w in {w for i in items for w in i.words} if df.get(w, 0) <= max(1, config.most_documents * n_docs))
-    terms = {w: k for k, w in enumerate(rare)}
-    if not terms:
-        return Model(items)
-    idf = np.array([1 + np.log((1 + n_docs) / (1 + df.get(w, 0))) for w in rare])
-    vectors, owner = [], []
-    for k, item in enumerate(items):
-        for at in range(0, max(1, len(item.words) - config.passage // 2), config.passage):
-            counts = Counter(terms[w] for w in item.words[at : at + config.passage] if w in terms)
-            cols = sorted(counts)
-            vals = np.array([counts[c] for c in cols]) * idf[cols]
-            if cols:
-                vectors.append(([int(c) for c in cols], (vals / np.linalg.norm(vals)).tolist()))
-                owner.append(k)
-    if not vectors:
-        return Model(items)
-    frame = spark.createDataFrame(vectors, "cols array<int>, vals array<double>").repartition(-(-len(vectors) // 1024))
-    v, values = randomised_svd(frame, len(terms), min(config.rank, len(vectors), len(terms)), config.power_rounds, config.seed)
-    v = v[:, values > 1e-6 * max(values[0], 1e-12)]
-    passages = np.array([np.asarray(vals) @ v[cols] for cols, vals in vectors])
-    passages /= np.maximum(np.linalg.norm(passages, axis=1, keepdims=True), 1e-12)
-    return Model(items, terms, (v * idf[:, None]).astype(np.float32), passages.astype(np.float32), np.array(owner))
-
-
-def places(words: list[str], ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Where words of ids stand in words, and the id of each."""
-    found = np.fromiter(map(ids.get, words, repeat(-1)), np.int64, len(words))
-    at = np.flatnonzero(found >= 0)
-    return at, found[at]
-
-
-def candidates(words: list[str], at: np.ndarray, row: np.ndarray, model: Model, config: DecontaminationConfig) -> dict[int, list[tuple[int, float]]]:
-    """By item, the windows (start and cosine) that are close to one of its passages; at and row are :func:`places` of words."""
-    kept = row < len(model.terms)
-    at, term = at[kept], row[kept]
-    if not len(at):
-        return {}
-    starts = np.arange(0, max(1, len(words) - config.window + config.stride), config.stride)
-    low, high = np.searchsorted(at, starts), np.searchsorted(at, starts + config.window)
-    some = high > low
-    starts, low, high = starts[some], low[some], high[some]
-    out: dict[int, list[tuple[int, float]]] = {}
-    for k in range(0, len(starts), 512):  # bounds memory for very long texts
-        a, z = low[k], high[k : k + 512].max()
-        sums = np.zeros((z - a + 1, model.latent.shape[1]), np.float32)
-        np.cumsum(model.latent[term[a:z]], axis=0, out=sums[1:])
-        x = sums[high[k : k + 512] - a] - sums[low[k : k + 512] - a]
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
-        cosines = x @ model.passages.T
-        for w, p in np.argwhere(cosines >= config.cosine):
-            out.setdefault(int(model.owner[p]), []).append((int(starts[k + w]), float(cosines[w, p])))
-    return out
-
-
-def surroundings(start: int, n: int, config: DecontaminationConfig) -> tuple[int, int]:
-    """Where the words begin and end that the checks compare an item of n words with, for the window at start."""
-    more = n if n > config.window else n // 2
-    return max(0, start - more), start + config.window + more
-
-
-def candidates_by_words(words: list[str], at: np.ndarray, row: np.ndarray, model: Model, config: DecontaminationConfig) -> dict[int, list[int]]:
-    """By item of model.by_words, the windows (start) whose surroundings share as many words with it as the checks ask for.
-
-    What shares fewer has a shorter common subsequence, so no window that passes the checks is left out.
-    """
-    there = np.zeros(len(model.rows), np.float32)
-    there[row] = 1
-    some = np.flatnonzero(there @ model.held >= model.least)
-    if not len(some):
-        return {}
-    held, least = model.held[:, some], model.least[some]
-    # Words of none of these items don't count.
-    wanted = held.any(axis=1)
-    at, row = at[wanted[row]], row[wanted[row]]
-    used, row = np.unique(row, return_inverse=True)
-    held = held[used]
-    starts = np.arange(0, max(1, len(words) - config.window + config.stride), config.stride)
-    # One width for all items, the greatest, so that no surroundings are cut.
-    spans = [surroundings(config.stride * len(words), len(model.items[model.by_words[c]].words), config) for c in some]
-    before = config.stride * len(words) - min(a for a, _ in spans)
-    after = max(z for _, z in spans) - config.stride * len(words)
-    out: dict[int, list[int]] = {}
-    for k in range(0, len(starts), 256):  # bounds memory for very long texts
-        part = starts[k : k + 256]
-        there = np.zeros((len(part), len(used)), np.float32)
-        for w, (low, high) in enumerate(zip(np.searchsorted(at, part - before), np.searchsorted(at, part + after), strict=True)):
-            there[w, row[low:high]] = 1
-        for w, c in np.argwhere(there @ held >= least):
-            out.setdefault(model.by_words[some[c]], []).append(int(part[w]))
+def passage_starts(n: int, size: int) -> list[int]:
+    """Where the passages of an item of n words begin: the last one ends with the item."""
+    return [*range(0, max(1, n - size + 1), size), *([n - size] if n > size and n % size else [])]
+
+
+def fit_model(spark: SparkSession, items: list[Item], vocabulary: dict[str, int], idf: np.ndarray, config: DecontaminationConfig) -> Model:
+    """The latent space of a block of items, its passages in it, and the postings of its items."""
+    known = [(i.item_id, [vocabulary[w] for w in i.words], [vocabulary[w] for w in i.answer]) for i in items]
+    terms = sorted({w for _, words, _ in known for w in words})
+    term = np.full(len(vocabulary), -1, np.int32)
+    term[terms] = np.arange(len(terms))
+    vectors, owner, width = [], [], []
+    for k, (_, words, _) in enumerate(known):
+        if len(words) < config.least_words:
+            continue
+        for at in passage_starts(len(words), config.passage):
+            counts = Counter(words[at : at + config.passage])
+            vals = np.array([c * idf[w] for w, c in counts.items()])
+            vectors.append((term[list(counts)].tolist(), (vals / np.linalg.norm(vals)).tolist()))
+            owner.append(k)
+            width.append(next((w for w in config.windows if w >= min(len(words), config.passage)), config.windows[-1]))
+    latent, passages = np.zeros((len(terms), 1)), np.zeros((0, 1))
+    if vectors:
+        frame = spark.createDataFrame(vectors, "cols array<int>, vals array<double>").repartition(-(-len(vectors) // 1024))
+        v, values = randomised_svd(frame, len(terms), min(config.rank, len(vectors), len(terms)), config.power_rounds, config.seed)
+        v = v[:, values > 1e-6 * max(values[0], 1e-12)]
+        passages = np.array([np.asarray(vals) @ v[cols] for cols, vals in vectors])
+        passages /= np.maximum(np.linalg.norm(passages, axis=1, keepdims=True), 1e-12)
+        latent = v * idf[terms][:, None]
+    posted = sorted((w, k, c) for k, (_, words, _) in enumerate(known) for w, c in Counter(words).items())
+    of = np.array([(w, k, c) for w, k, c in posted], dtype=np.int64).reshape(-1, 3)
+    ends = np.searchsorted(of[:, 0], np.arange(len(vocabulary) + 1))
+    share = [min(config.lcs, config.lcs_paraphrase) if len(words) >= config.least_words else 1.0 for _, words, _ in known]
+    least = np.array([s * len(words) for s, (_, words, _) in zip(share, known, strict=True)]) - 1e-6
+    return Model(known, term, latent.astype(np.float32), passages.astype(np.float32), np.array(owner, np.int64), np.array(width, np.int64), ends, of[:, 1], of[:, 2].astype(np.float64), least)
+
+
+def within_reach(ids: np.ndarray, model: Model) -> np.ndarray:
+    """The items of which the row has as many words, anywhere, as the checks ask for."""
+    some = np.unique(ids)
+    low, n = model.ends[some], model.ends[some + 1] - model.ends[some]
+    at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+    score = np.bincount(model.posted[at], weights=model.times[at], minlength=len(model.items))
+    return np.flatnonzero(score >= model.least)
+
+
+def candidates(ids: np.ndarray, at: np.ndarray, reach: np.ndarray, model: Model, config: DecontaminationConfig) -> dict[int, list[tuple[int, int, float]]]:
+    """By item of reach, the windows (start, width, cosine) that are close to one of its passages."""
+    own = np.flatnonzero(np.isin(model.owner, reach))
+    out: dict[int, list[tuple[int, int, float]]] = {}
+    if not len(own):
+        return out
+    kept = np.flatnonzero(model.term[ids] >= 0)
+    at, term = at[kept], model.term[ids[kept]]
+    for width in np.unique(model.width[own]).tolist():
+        chosen = own[model.width[own] == width]
+        starts = np.arange(0, max(1, int(at[-1]) + 1 - width // 2), width // 2)
+        low, high = np.searchsorted(at, starts), np.searchsorted(at, starts + width)
+        some = high > low
+        starts, low, high = starts[some], low[some], high[some]
+        for k in range(0, len(starts), 512):  # bounds memory for very long texts
+            a, z = low[k], high[k : k + 512].max()
+            sums = np.zeros((z - a + 1, model.latent.shape[1]), np.float32)
+            np.cumsum(model.latent[term[a:z]], axis=0, out=sums[1:])
+            x = sums[high[k : k + 512] - a] - sums[low[k : k + 512] - a]
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
+            cosines = x @ model.passages[chosen].T
+            for w, p in np.argwhere(cosines >= config.cosine):
+                out.setdefault(int(model.owner[chosen[p]]), []).append((int(starts[k + w]), width, float(cosines[w, p])))
     return out
 
 
-def run_cosine(item: Item, around: list[str], idf: dict[str, float]) -> float:
-    """The greatest TF-IDF cosine of item with a run of as many words of around, over the words of idf."""
-    n, best = len(item.words), 0.0
-    norm = sum((c * idf[w]) ** 2 for w, c in item.counts.items()) ** 0.5
-    for at in range(max(1, len(around) - n + 1)):
-        run = Counter(w for w in around[at : at + n] if w in idf)
-        if dot := sum(c * run[w] * idf[w] ** 2 for w, c in item.counts.items()):
-            best = max(best, dot / norm / sum((c * idf[w]) ** 2 for w, c in run.items()) ** 0.5)
-    return min(best, 1.0)
-
-
-def leaks_in(text: str | None, model: Model, config: DecontaminationConfig) -> list[dict]:
-    """The items that the whole text contains: item_id, cosine, lcs, answer (of the window with the greatest lcs among those that pass the checks)."""
-    words, out = words_of(text), []
-    needed = min(config.lcs, config.lcs_paraphrase)
-    if not words:
-        return out
-    at, row = places(words, model.rows)
-    near = candidates(words, at, row, model, config)
-    for k, starts in (candidates_by_words(words, at, row, model, config) if model.by_words else {}).items():
-        known = {start for start, _ in near.get(k, ())}
-        near.setdefault(k, []).extend((start, None) for start in starts if start not in known)
-    for k, windows in near.items():
-        item, best = model.items[k], None
-        n = len(item.words)
-        for start, cosine in windows:
-            if n < config.least_words:
-                break
-            low, high = surroundings(start, n, config)
-            around = words[low:high]
-            # The item's words that stand in the window at all bound the common subsequence.
-            if sum(map(item.counts.__getitem__, item.counts.keys() & around)) < needed * n:
-                continue
-            share = lcs_length(item.words, around) / n
-            if cosine is None:  # found by its words
-                if share < needed or (cosine := run_cosine(item, around, model.idf)) < config.cosine:
-                    continue
-            if share >= needed and (best is None or share > best["lcs"]):
-                answer = lcs_length(item.answer, around) / len(item.answer) if item.answer else 1.0
-                if share >= config.lcs or share >= config.lcs_paraphrase and answer >= config.answer:
-                    best = {"item_id": item.item_id, "cosine": cosine, "lcs": share, "answer": answer}
+def has_run(ids: np.ndarray, at: np.ndarray, run: list[int]) -> bool:
+    n = len(run)
+    first = np.flatnonzero(ids[: max(0, len(ids) - n + 1)] == run[0])
+    return any(at[k + n - 1] - at[k] == n - 1 and ids[k : k + n].tolist() == run for k in first)
+
+
+def leaks_in(ids: np.ndarray, at: np.ndarray, model: Model, config: DecontaminationConfig) -> list[tuple[int, float, float, float]]:
+    """The items that a row contains: item_id, cosine, lcs, answer (of the window with the greatest lcs among those that pass the checks)."""
+    reach = within_reach(ids, model) if len(ids) else ()
+    if not len(reach):
+        return []
+    out, needed = [], min(config.lcs, config.lcs_paraphrase)
+    for k, windows in candidates(ids, at, reach, model, config).items():
+        item_id, words, answer = model.items[k]
+        n, counts, best, seen = len(words), Counter(words), None, {}
+        for start, width, cosine in windows:
+            low, high = np.searchsorted(at, (start - n, start + width + n))
+            if (low, high) not in seen:
+                around = ids[low:high].tolist()
+                # The item's words that stand around the window at all bound the common subsequence.
+                bound = sum(map(counts.__getitem__, counts.keys() & around))
+                share = lcs_length(words, around) / n if bound >= needed * n else 0.0
+                said = (lcs_length(answer, around) / len(answer) if answer else 1.0) if share >= needed else 0.0
+                seen[low, high] = share, said
+            share, said = seen[low, high]
+            if (share >= config.lcs or share >= config.lcs_paraphrase and said >= config.answer) and (best is None or (share, cosine) > (best[2], best[1])):
+                best = (item_id, cosine, share, said)
         if best:
             out.append(best)
-    for item in model.short:
-        if contains_run(words, item.words):
-            out.append({"item_id": item.item_id, "cosine": 1.0, "lcs": 1.0, "answer": 1.0})
-    return sorted(out, key=lambda x: x["item_id"])
-
-
-LEAK = "struct<item_id:bigint,cosine:double,lcs:double,answer:double>"
-
-
-def leak_column(model: Model, config: DecontaminationConfig, text: Column) -> Column:
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.float64())]))
-
-    @F.arrow_udf(f"array<{LEAK}>")
-    def leaks(texts: pa.Array) -> pa.Array:
-        return pa.array([leaks_in(t.as_py(), model, config) for t in texts], kind)
-
-    return leaks(text)
-
+    for k in reach.tolist():
+        item_id, words, _ = model.items[k]
+        if len(words) < config.least_words and has_run(ids, at, words):
+            out.append((item_id, 1.0, 1.0, 1.0))
+    return out
 
-def leaks(docs: DataFrame, benchmark: DataFrame, config: DecontaminationConfig = DecontaminationConfig()) -> Column:
-    """A column for docs (text): the array of benchmark items that a row's text contains, empty for null and empty texts.
 
-    benchmark has item_id, text and perhaps answer. Rows without an id or without words are left out; items of
-    equal text are each reported. Without a benchmark the arrays are empty.
+def _searched(models: list[Model], config: DecontaminationConfig):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, rows = [], []
+            for k in range(0, len(b), ROWS):
+                id_lists, gap_lists = b.column(0).slice(k, ROWS), b.column(1).slice(k, ROWS)
+                ends = np.cumsum(id_lists.value_lengths().to_numpy())
+                ids, gaps = id_lists.flatten().to_numpy(), gap_lists.flatten().to_numpy()
+                for i, (low, high) in enumerate(zip(np.append(0, ends[:-1]), ends, strict=True)):
+                    own, at = ids[low:high], np.cumsum(gaps[low:high], dtype=np.int64) - 1
+                    for model in models:
+                        new = leaks_in(own, at, model, config)
+                        found += new
+                        rows += [k + i] * len(new)
+            kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64())
+            keys = [c.take(pa.array(rows, pa.int64())) for c in b.columns[2:]]
+            yield pa.record_batch([*(pa.array([x[j] for x in found], t) for j, t in enumerate(kinds)), *keys], names=["item_id", "cosine", "lcs", "answer", *b.schema.names[2:]])
+
+    return run
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, *keys: str, config: DecontaminationConfig = DecontaminationConfig()) -> DataFrame:
+    """item_id, cosine, lcs, answer, and the columns named by keys: a row for each row of docs (text) and benchmark item that it contains.
+
+    benchmark has item_id, text and perhaps answer. Rows of it without an id or without words are left out; items of
+    equal text are each reported. Null and empty texts contain nothing; repeated rows are reported each; very long texts are searched
+    whole; without documents or a benchmark there are no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
     blocks = list(item_blocks(benchmark, config.block_items))
-    if not blocks:
-        return F.array().cast(f"array<{LEAK}>")
-    df, n_docs = document_frequencies(docs, {w for b in blocks for i in b for w in i.words})
-    text = F.col("text").cast("string")
-    return F.flatten(F.array(*[leak_column(fit_model(spark, b, df, n_docs, config), config, text) for b in blocks]))
+    vocabulary = {w: k for k, w in enumerate(sorted({w for b in blocks for i in b for w in (*i.words, *i.answer)}))}
+    terms = tokenised(docs, vocabulary, *keys)
+    schema = StructType().add("item_id", "long").add("cosine", "double").add("lcs", "double").add("answer", "double")
+    for f in terms.schema.fields[2:]:
+        schema = schema.add(f)
+    df, n_docs = document_frequencies(terms, max(1, len(vocabulary)))
+    idf = 1 + np.log((1 + n_docs) / (1 + df))
+    models = [fit_model(spark, b, vocabulary, idf, config) for b in blocks]
+    return terms.mapInArrow(_searched(models, config), schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, config: DecontaminationConfig = DecontaminationConfig()) -> DataFrame:
-    """doc_id, item_id, cosine, lcs, answer: a row for each document (row of docs) and benchmark item that it contains."""
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(leaks(docs, benchmark, config)).alias("leak"))
-    return found.select("doc_id", "leak.item_id", "leak.cosine", "leak.lcs", "leak.answer")
+    """doc_id, item_id, cosine, lcs, answer: a row for each row of docs (doc_id, text) and benchmark item that it contains."""
+    found = leaks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, "doc_id", config=config)
+    return found.select("doc_id", "item_id", "cosine", "lcs", "answer")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
