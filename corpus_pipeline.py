@@ -57,7 +57,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no item of the benchmark; null and empty texts contain none; repeated rows stay or go together."""
-    return docs.filter(F.size(leaks(docs, table(spark, sf_dir, "benchmark"))) == 0)
+    rows = row_keyed(docs, ROW)
+    return without(rows, leaks(rows, table(spark, sf_dir, "benchmark"), ROW).select(ROW).distinct()).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +67,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """rows (see :func:`row_keyed`) without those whose key is in gone: few keys beside all texts."""
+    """rows (see :func:`row_keyed`) without those whose key is in gone: few keys beside all texts.
+
+    Spark broadcasts the keys below its own limit of size, and else joins by sorting both sides.
+    """
     return rows.join(stage(gone, "dropped"), ROW, "left_anti")
 
 
