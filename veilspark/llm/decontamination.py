@@ -6,9 +6,9 @@
    common: its weight (idf) falls to 1 and no further, so an item that was copied to most documents is still found.
 3. A latent space: distributed randomised SVD of the TF-IDF matrix of the benchmark's passages. Directions that no
    benchmark passage has cannot tell a leak from other text, so the space is fitted to the passages searched for.
-4. Candidates: a document that doesn't hold as many words of an item as the checks ask for can't pass them, and isn't searched for
-   it. The others are read as overlapping windows, of the least width in ``windows`` that holds the item's passage; a window whose
-   latent vector has a cosine of at least ``cosine`` with the passage is compared further. Every window of the whole text is.
+4. Candidates: the whole text is read as overlapping windows, of the least width in ``windows`` that holds the item's passage. A
+   document, and then a window with its surroundings, that doesn't hold as many of the item's words as the checks ask for can't pass
+   them and goes no further; of the others, those whose latent vector has a cosine of at least ``cosine`` with the passage are compared.
 5. Checks: the longest common subsequence of the item's words and the words around the window, over the item's length, is at
    least ``lcs``; or, for paraphrases, at least ``lcs_paraphrase`` while the answer (a column, or else the item's
    last sentence) is found to ``answer`` as well. Items of under ``least_words`` words must occur word for word.
@@ -80,25 +80,38 @@ class Item:
     answer: list[str]
 
 
+@dataclass
+class Bag:
+    """An item's terms in order and how often it has each; of these the rarer ones, of which a window has to hold at least ``few``."""
+
+    n: int
+    terms: np.ndarray
+    times: np.ndarray
+    rare: np.ndarray
+    few: int
+
+
 @dataclass
 class Model:
     """A block of the benchmark, with words as numbers of the vocabulary.
 
     items: (item_id, words, answer); of the vocabulary's terms, term has the number in this block (-1: in no item) and latent
-    the weighted latent vectors; passages are rows of the latent space with the item that owns each and its width of window. The items
-    that have a term are posted[ends[term]:ends[term + 1]], and how often, times; an item needs a score of least to be looked for.
+    the weighted latent vectors; passages are rows of the latent space, owned by item k from first[k] to first[k + 1], and width is
+    the item's width of window. The items that have a term among their rarer ones are posted[ends[term]:ends[term + 1]].
     """
 
     items: list[tuple[int, list[int], list[int]]]
     term: np.ndarray
     latent: np.ndarray
     passages: np.ndarray
-    owner: np.ndarray
+    first: np.ndarray
     width: np.ndarray
     ends: np.ndarray
     posted: np.ndarray
-    times: np.ndarray
-    least: np.ndarray
+    bags: list[Bag]
+    few: np.ndarray
+    #: the words that a window of an item and its surroundings have
+    span: np.ndarray
 
 
 def last_sentence(text: str) -> str:
@@ -219,22 +232,20 @@ def passage_starts(n: int, size: int) -> list[int]:
     return [*range(0, max(1, n - size + 1), size), *([n - size] if n > size and n % size else [])]
 
 
-def fit_model(spark: SparkSession, items: list[Item], vocabulary: dict[str, int], idf: np.ndarray, config: DecontaminationConfig) -> Model:
+def fit_model(spark: SparkSession, items: list[Item], vocabulary: dict[str, int], df: np.ndarray, n_docs: int, config: DecontaminationConfig) -> Model:
     """The latent space of a block of items, its passages in it, and the postings of its items."""
+    idf = 1 + np.log((1 + n_docs) / (1 + df))
     known = [(i.item_id, [vocabulary[w] for w in i.words], [vocabulary[w] for w in i.answer]) for i in items]
     terms = sorted({w for _, words, _ in known for w in words})
     term = np.full(len(vocabulary), -1, np.int32)
     term[terms] = np.arange(len(terms))
-    vectors, owner, width = [], [], []
+    vectors, owner = [], []
     for k, (_, words, _) in enumerate(known):
-        if len(words) < config.least_words:
-            continue
-        for at in passage_starts(len(words), config.passage):
+        for at in passage_starts(len(words), config.passage) if len(words) >= config.least_words else ():
             counts = Counter(words[at : at + config.passage])
             vals = np.array([c * idf[w] for w, c in counts.items()])
             vectors.append((term[list(counts)].tolist(), (vals / np.linalg.norm(vals)).tolist()))
             owner.append(k)
-            width.append(next((w for w in config.windows if w >= min(len(words), config.passage)), config.windows[-1]))
     latent, passages = np.zeros((len(terms), 1)), np.zeros((0, 1))
     if vectors:
         frame = spark.createDataFrame(vectors, "cols array<int>, vals array<double>").repartition(-(-len(vectors) // 1024))
@@ -243,46 +254,80 @@ def fit_model(spark: SparkSession, items: list[Item], vocabulary: dict[str, int]
         passages = np.array([np.asarray(vals) @ v[cols] for cols, vals in vectors])
         passages /= np.maximum(np.linalg.norm(passages, axis=1, keepdims=True), 1e-12)
         latent = v * idf[terms][:, None]
-    posted = sorted((w, k, c) for k, (_, words, _) in enumerate(known) for w, c in Counter(words).items())
-    of = np.array([(w, k, c) for w, k, c in posted], dtype=np.int64).reshape(-1, 3)
-    ends = np.searchsorted(of[:, 0], np.arange(len(vocabulary) + 1))
-    share = [min(config.lcs, config.lcs_paraphrase) if len(words) >= config.least_words else 1.0 for _, words, _ in known]
-    least = np.array([s * len(words) for s, (_, words, _) in zip(share, known, strict=True)]) - 1e-6
-    return Model(known, term, latent.astype(np.float32), passages.astype(np.float32), np.array(owner, np.int64), np.array(width, np.int64), ends, of[:, 1], of[:, 2].astype(np.float64), least)
-
-
-def within_reach(ids: np.ndarray, model: Model) -> np.ndarray:
-    """The items of which the row has as many words, anywhere, as the checks ask for."""
-    some = np.unique(ids)
-    low, n = model.ends[some], model.ends[some + 1] - model.ends[some]
-    at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-    score = np.bincount(model.posted[at], weights=model.times[at], minlength=len(model.items))
-    return np.flatnonzero(score >= model.least)
-
-
-def candidates(ids: np.ndarray, at: np.ndarray, reach: np.ndarray, model: Model, config: DecontaminationConfig) -> dict[int, list[tuple[int, int, float]]]:
-    """By item of reach, the windows (start, width, cosine) that are close to one of its passages."""
-    own = np.flatnonzero(np.isin(model.owner, reach))
+    width = np.array([next((w for w in config.windows if w >= min(len(words), config.passage)), config.windows[-1]) for _, words, _ in known])
+    bags = [bag(words, df, share_needed(len(words), config)) for _, words, _ in known]
+    posted = np.array(sorted((w, k) for k, b in enumerate(bags) for w in b.rare.tolist()), dtype=np.int64).reshape(-1, 2)
+    ends = np.searchsorted(posted[:, 0], np.arange(len(vocabulary) + 1))
+    first = np.searchsorted(owner, np.arange(len(known) + 1))
+    span = width + 2 * np.array([b.n for b in bags])
+    return Model(known, term, latent.astype(np.float32), passages.astype(np.float32), first, width, ends, posted[:, 1], bags, np.array([b.few for b in bags]), span)
+
+
+def share_needed(n: int, config: DecontaminationConfig) -> float:
+    """The share of an item's n words that has to stand in a window and its surroundings for the checks to pass."""
+    return min(config.lcs, config.lcs_paraphrase) if n >= config.least_words else 1.0
+
+
+def bag(words: list[int], df: np.ndarray, needed: float) -> Bag:
+    """What holds needed of the words holds, without the commonest words (up to half of needed), the rest of needed of the others."""
+    terms, times = np.unique(words, return_counts=True)
+    order = np.argsort(-df[terms], kind="stable")
+    common = np.cumsum(times[order]) <= needed * len(words) / 2
+    few = int(np.ceil(needed * len(words) - times[order[common]].sum() - 1e-6))
+    return Bag(len(words), terms, times, np.sort(terms[order[~common]]), max(1, few))
+
+
+def within_reach(ids: np.ndarray, at: np.ndarray, model: Model) -> dict[int, np.ndarray]:
+    """The items of which the row has ``few`` of the rarer words close enough together, and the places of these words."""
+    n = model.ends[ids + 1] - model.ends[ids]
+    total = int(n.sum())
+    if not total:
+        return {}
+    item = model.posted[np.repeat(model.ends[ids] - np.cumsum(n) + n, n) + np.arange(total)]
+    order = np.argsort(item, kind="stable")
+    item, place = item[order], np.repeat(at, n)[order]
+    last = np.arange(total) + model.few[item] - 1
+    some = np.flatnonzero(last < total)
+    last = last[some]
+    near = (item[last] == item[some]) & (place[last] - place[some] < model.span[item[some]])
+    found = np.unique(item[some[near]])
+    low, high = np.searchsorted(item, found), np.searchsorted(item, found, side="right")
+    return {k: place[a:z] for k, a, z in zip(found.tolist(), low.tolist(), high.tolist(), strict=True)}
+
+
+def windows_within_reach(place: np.ndarray, ids: np.ndarray, at: np.ndarray, item: Bag, width: int, needed: float) -> list[int]:
+    """The starts of windows around which an item has as many words as the checks ask for; place has its rarer words.
+
+    Words that stand there count as often as the item has them; the longest common subsequence is at most that.
+    """
+    starts = np.arange(0, max(1, int(at[-1]) + 1 - width // 2), width // 2)
+    some = np.searchsorted(place, starts + width + item.n) - np.searchsorted(place, starts - item.n) >= item.few
+    out = []
+    for start in starts[some].tolist():
+        low, high = np.searchsorted(at, (start - item.n, start + width + item.n))
+        around = ids[low:high]
+        column = np.minimum(np.searchsorted(item.terms, around), len(item.terms) - 1)
+        held = np.bincount(column[item.terms[column] == around], minlength=len(item.terms))
+        if np.minimum(held, item.times).sum() >= needed * item.n - 1e-6:
+            out.append(start)
+    return out
+
+
+def candidates(ids: np.ndarray, at: np.ndarray, reach: dict[int, np.ndarray], model: Model, config: DecontaminationConfig) -> dict[int, list[tuple[int, int, float]]]:
+    """By item of reach, the windows (start, width, cosine) that are close to one of its passages, of those that can pass the checks at all."""
     out: dict[int, list[tuple[int, int, float]]] = {}
-    if not len(own):
-        return out
-    kept = np.flatnonzero(model.term[ids] >= 0)
-    at, term = at[kept], model.term[ids[kept]]
-    for width in np.unique(model.width[own]).tolist():
-        chosen = own[model.width[own] == width]
-        starts = np.arange(0, max(1, int(at[-1]) + 1 - width // 2), width // 2)
-        low, high = np.searchsorted(at, starts), np.searchsorted(at, starts + width)
-        some = high > low
-        starts, low, high = starts[some], low[some], high[some]
-        for k in range(0, len(starts), 512):  # bounds memory for very long texts
-            a, z = low[k], high[k : k + 512].max()
-            sums = np.zeros((z - a + 1, model.latent.shape[1]), np.float32)
-            np.cumsum(model.latent[term[a:z]], axis=0, out=sums[1:])
-            x = sums[high[k : k + 512] - a] - sums[low[k : k + 512] - a]
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
-            cosines = x @ model.passages[chosen].T
-            for w, p in np.argwhere(cosines >= config.cosine):
-                out.setdefault(int(model.owner[chosen[p]]), []).append((int(starts[k + w]), width, float(cosines[w, p])))
+    for k, place in reach.items():
+        own = model.passages[model.first[k] : model.first[k + 1]]
+        if not len(own):
+            continue
+        width = int(model.width[k])
+        for start in windows_within_reach(place, ids, at, model.bags[k], width, share_needed(model.bags[k].n, config)):
+            low, high = np.searchsorted(at, (start, start + width))
+            term = model.term[ids[low:high]]
+            x = model.latent[term[term >= 0]].sum(axis=0)
+            cosine = float((own @ x).max()) / max(float(np.linalg.norm(x)), 1e-6)
+            if cosine >= config.cosine:
+                out.setdefault(k, []).append((start, width, cosine))
     return out
 
 
@@ -294,8 +339,8 @@ def has_run(ids: np.ndarray, at: np.ndarray, run: list[int]) -> bool:
 
 def leaks_in(ids: np.ndarray, at: np.ndarray, model: Model, config: DecontaminationConfig) -> list[tuple[int, float, float, float]]:
     """The items that a row contains: item_id, cosine, lcs, answer (of the window with the greatest lcs among those that pass the checks)."""
-    reach = within_reach(ids, model) if len(ids) else ()
-    if not len(reach):
+    reach = within_reach(ids, at, model)
+    if not reach:
         return []
     out, needed = [], min(config.lcs, config.lcs_paraphrase)
     for k, windows in candidates(ids, at, reach, model, config).items():
@@ -315,7 +360,7 @@ def leaks_in(ids: np.ndarray, at: np.ndarray, model: Model, config: Decontaminat
                 best = (item_id, cosine, share, said)
         if best:
             out.append(best)
-    for k in reach.tolist():
+    for k in reach:
         item_id, words, _ = model.items[k]
         if len(words) < config.least_words and has_run(ids, at, words):
             out.append((item_id, 1.0, 1.0, 1.0))
@@ -359,8 +404,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *keys: str, config: Decontamina
     for f in terms.schema.fields[2:]:
         schema = schema.add(f)
     df, n_docs = document_frequencies(terms, max(1, len(vocabulary)))
-    idf = 1 + np.log((1 + n_docs) / (1 + df))
-    models = [fit_model(spark, b, vocabulary, idf, config) for b in blocks]
+    models = [fit_model(spark, b, vocabulary, df, n_docs, config) for b in blocks]
     return terms.mapInArrow(_searched(models, config), schema)
 
 
