@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +62,35 @@ def remove_dir(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_given_back = [0.0]
+
+
+def give_back(spark: SparkSession, seconds: float = 2.0) -> None:
+    """Let the driver's JVM return the native memory that its allocator keeps after planning and compiling; once in some seconds.
+
+    A run of many stages would else hold on to hundreds of MB that are free. Where the JVM has no such command, nothing happens.
+    """
+    if time.monotonic() - _given_back[0] < seconds:
+        return
+    _given_back[0] = time.monotonic()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+
+    def array(kind, *values):
+        out = gateway.new_array(kind, len(values))
+        for i, v in enumerate(values):
+            out[i] = v
+        return out
+
+    with contextlib.suppress(Py4JError):
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        # The server's class is hidden, so its method is taken from the public interface.
+        of = jvm.java.lang.Class.forName
+        kinds = array(jvm.java.lang.Class, *map(of, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")))
+        values = array(jvm.java.lang.Object, command, "systemTrimNativeHeap", array(jvm.java.lang.Object), array(jvm.java.lang.String))
+        of("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, values)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 
@@ -67,6 +99,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
+    give_back(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
