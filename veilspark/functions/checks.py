@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+from veilspark.functions import fx as F
 
 # The weights of the check digits. The 12-digit tax number's second check digit is computed here with ten
 # weights over digits 2 to 11, as equal results need; the official rule has eleven weights over digits 1 to 11.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+from veilspark.functions import fx as F
 
 
 @dataclass(frozen=True)

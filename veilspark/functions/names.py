@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+from veilspark.functions import fx as F
 
 # Case endings, first match wins: (ending, what replaces it). Feminine surnames stay feminine.
 ENDINGS = (

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+from veilspark.functions import fx as F
 
 from veilspark.functions.labels import priority
 
@@ -27,21 +27,21 @@ def hits(text: Column, pattern: str) -> Column:
     cost one search; the others are cut at the matches and the lengths of the parts add up to the places.
     """
     p = F.lit(pattern)
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("hit"))
+    parts = F.arrays_zip(F.split(text, pattern, -1), F.regexp_extract_all(text, p, F.lit(0)))  # fields 0 (gap) and 1 (hit)
     start = F.struct(F.lit(0).alias("at"), empty(HIT).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["gap"])
-        hit = F.struct(at.alias("start"), x["hit"].alias("text"))
-        return F.struct((at + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(hit))).alias("out"))
+        at = acc["at"] + F.length(x["0"])
+        hit = F.struct(at.alias("start"), x["1"].alias("text"))
+        return F.struct((at + F.coalesce(F.length(x["1"]), F.lit(0))).alias("at"), F.when(x["1"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(hit))).alias("out"))
 
     return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(empty(HIT))
 
 
-def span(label: Column | str, text: Column, start: Column, confidence: Column, source: str, end: Column | None = None) -> Column:
+def span(label: Column | str, text: Column, start: Column, confidence: Column, source: Column | str, end: Column | None = None) -> Column:
     label = F.lit(label) if isinstance(label, str) else label
     end = start + F.length(text) if end is None else end
-    return F.struct(label.alias("label"), text.alias("text"), start.cast("int").alias("start"), end.cast("int").alias("end"), confidence.cast("double").alias("confidence"), F.lit(source).alias("source"))
+    return F.struct(label.alias("label"), text.alias("text"), start.cast("int").alias("start"), end.cast("int").alias("end"), confidence.cast("double").alias("confidence"), (F.lit(source) if isinstance(source, str) else source).alias("source"))
 
 
 def window(text: Column, e: Column, size: int = 48) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+from veilspark.functions import fx as F
 
 from veilspark.functions import checks
 from veilspark.functions.labels import lookup
@@ -97,7 +97,7 @@ def rescored(label: str, text: Column, e: Column, boost: float) -> Column:
 def judged(label: str, text: Column, spans: Column, config: PiiConfig) -> Column:
     """Spans of one label that are not rejected, rescored, and reach the label's threshold."""
     kept = F.filter(spans, lambda e: ~rejected(label, text, e))
-    scored = F.transform(kept, lambda e: span(e["label"], e["text"], e["start"], rescored(label, text, e, config.context_boost), "", e["end"]).withField("source", e["source"]))
+    scored = F.transform(kept, lambda e: span(e["label"], e["text"], e["start"], rescored(label, text, e, config.context_boost), e["source"], e["end"]))
     return F.filter(scored, lambda e: e["confidence"] >= config.threshold_for(label))
 
 

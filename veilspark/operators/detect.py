@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from veilspark.functions import fx as F
 
 from veilspark.functions.names import name_stem
 from veilspark.functions.spans import empty, hits, merge_persons, overlaps, resolve, span, union_spans
@@ -56,24 +58,33 @@ def with_spans(df: DataFrame, text: str = "text", config: PiiConfig = PiiConfig(
     projection of its own: Catalyst keeps an expensive expression that is read twice in its own projection, so no
     pattern is searched twice.
     """
+    with contextlib.nullcontext() if extra else F.as_sql():  # other recognizers' validators work on columns
+        return _with_spans(df, text, config, name, extra, external)
+
+
+def add(df: DataFrame, columns: dict) -> DataFrame:
+    return df.withColumns({k: F.column(v) for k, v in columns.items()})
+
+
+def _with_spans(df: DataFrame, text: str, config: PiiConfig, name: str, extra: tuple[Recognizer, ...], external: str | None) -> DataFrame:
     own = lambda x: f"__{name}_{x}"
     t, before = F.col(text), df.columns
-    out = df.withColumns({own("digit"): F.coalesce(t.rlike(DIGIT), F.lit(False)), own("cyrillic"): F.coalesce(t.rlike(CYRILLIC), F.lit(False))})
+    out = add(df, {own("digit"): F.coalesce(t.rlike(DIGIT), F.lit(False)), own("cyrillic"): F.coalesce(t.rlike(CYRILLIC), F.lit(False))})
     found = raw_spans(t, config, extra, F.col(own("digit")), F.col(own("cyrillic")))
-    out = out.withColumns({own(label): spans for label, spans in found.items()})
+    out = add(out, {own(label): spans for label, spans in found.items()})
     persons = F.col(own("PERSON"))
     if "PERSON" in found and config.ner_enabled and config.morphology_enabled:
         some = F.size(persons) > 0
-        out = out.withColumn(own("PERSON"), F.when(some, merge_persons(persons, t)).otherwise(empty()))
-        out = out.withColumn(own("stems"), F.when(some, name_stems(persons)))
-        out = out.withColumn(own("PERSON"), F.when(some, F.concat(persons, same_names(t, persons, F.col(own("stems"))))).otherwise(empty()))
-    parts = [F.when(F.size(own(label)) > 0, judged(label, t, F.col(own(label)), config)).otherwise(empty()) for label in found]
+        out = add(out, {own("PERSON"): F.when(some, merge_persons(persons, t)).otherwise(empty())})
+        out = add(out, {own("stems"): F.when(some, name_stems(persons))})
+        out = add(out, {own("PERSON"): F.when(some, F.concat(persons, same_names(t, persons, F.col(own("stems"))))).otherwise(empty())})
+    parts = [F.when(F.size(F.col(own(label))) > 0, judged(label, t, F.col(own(label)), config)).otherwise(empty()) for label in found]
     if external is not None:
         parts.append(judge_mixed(t, F.col(external), config))
-    out = out.withColumn(own("all"), F.coalesce(F.concat(*parts) if parts else empty(), empty()))
+    out = add(out, {own("all"): F.coalesce(F.concat(*parts) if parts else empty(), empty())})
     every = F.col(own("all"))
     resolved = union_spans(every, t) if config.mask_union else resolve(every)
-    return out.withColumn(name, F.when(F.size(every) > 1, resolved).otherwise(every)).select(*[c for c in before if c != name], name)
+    return add(out, {name: F.when(F.size(every) > 1, resolved).otherwise(every)}).select(*[c for c in before if c != name], name)
 
 
 def exploded(df: DataFrame, key: str = "doc_id", spans: str = "spans") -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+from veilspark.functions import fx as F
 
 from veilspark.functions import checks
 from veilspark.functions.spans import empty, hits, span
