@@ -19,6 +19,9 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Spark's setting to delete a query's shuffle files when the query ends, rather than when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _shipped: set[str] = set()
 
 
@@ -97,9 +100,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage: a lost executor costs the tasks of the current stage, not the
     scan of all texts, and whatever reads the result twice computes it once.
     """
-    path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    give_back(df.sparkSession)
+    spark, path = df.sparkSession, work_dir(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # the rows are written, so nothing reads this job's shuffle files again
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    give_back(spark)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -177,7 +177,8 @@ def blocks(docs: DataFrame, taken: DataFrame) -> DataFrame:
     found = F.transform(F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), cut)
     each = docs.select("row", "doc_id", F.explode(F.element_at(found, 1)).alias("x"))
     each = each.select("x.p.shard", "x.p.sid", "x.p.epoch", "x.p.block", F.struct("x.p.at", "row", "doc_id", "x.p.first", F.size("x.words").cast("long").alias("n_words"), F.array_join("x.words", " ").alias("text")).alias("piece"))
-    # At most block_words pieces in a group.
+    # Written once cut, so that the shuffle of the texts is gone before that of the pieces. At most block_words pieces in a group.
+    each = stage(each, "pieces")
     out = each.groupBy("shard", "sid", "epoch", "block").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
     text = F.array_join(F.transform("pieces", lambda p: p["text"]), " ")
     total = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["n_words"])
