@@ -65,12 +65,13 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, key: str | None = None) ->
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("row").alias("r"))
     # Partial aggregation leaves one row per digest and task before the shuffle, so a hot text is no hot key.
     reps = stage(rows.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size")), "groups")
-    fresh = stage(index.unseen(reps.select("digest", F.col("first.d").alias("keep_id"), F.col("first.r").alias("keep_row"))), "fresh")
+    # A join with the index leaves a piece for every bucket, however small; rebalanced, a staged table has files of a fair size.
+    fresh = stage(index.unseen(reps.select("digest", F.col("first.d").alias("keep_id"), F.col("first.r").alias("keep_row"))).hint("rebalance"), "fresh")
     index.append(fresh)
     known = index.table().hint("merge")
     verdict = reps.select("digest", "group_size").join(known, "digest", "left").join(fresh.select("digest", "keep_row"), "digest", "left")
     # Groups of one need no join back on a hot key, but the rows of large groups do: a sort-merge join whose skewed side Spark splits.
-    out = rows.join(stage(verdict, "verdict"), "digest")
+    out = rows.join(stage(verdict.hint("rebalance"), "verdict"), "digest")
     return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"), "digest", *([] if key is None else [F.col("row").alias(key)]))
 
 
