@@ -1,8 +1,10 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from veilspark import queries
 from veilspark.functions import cells, checks
 from veilspark.functions.labels import generic_placeholder
 from veilspark.functions.names import person_canonical, surname_key
@@ -197,3 +199,19 @@ def test_report_and_stream(spark, tmp_path):
     q = s.select("masked").writeStream.format("memory").queryName("masked_stream").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [r.masked for r in spark.table("masked_stream").collect()] == ["<EMAIL>"]
+
+
+def test_cards_in_any_form_and_the_mapping_of_several_surfaces(spark, tmp_path):
+    texts = ["4111 1111-11111111 b@x.org", "378282246310005 and 3782 822463 10005", "4111111111111111 4111111111111111", "4111111111111112 a@x.org b@x.org a@x.org", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def luhn(number):
+        digits = [int(c) for c in reversed(number) if c.isdigit()]
+        return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
+
+    forms = re.compile(r"(?<!\d)(?:[3-6]\d{3}(?:[ -]?\d{4}){3}|3[47]\d\d[ -]?\d{6}[ -]?\d{5})(?!\d)")
+    cards = sorted((i, m.group(), m.start(), m.end()) for i, t in enumerate(texts) for m in forms.finditer(t or "") if luhn(m.group()))
+    found = queries.QUERIES["card_spans"](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["text"], r["start"], r["end"]) for r in found) == cards and len(cards) == 5
+    mapped = queries.QUERIES["first_wins"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in mapped) == [(0, "b@x.org", "<EMAIL>"), (3, "a@x.org", "<EMAIL>"), (3, "b@x.org", "<EMAIL>")]
