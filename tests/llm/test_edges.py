@@ -128,3 +128,41 @@ def test_pipeline_of_odd_rows(spark, odd):
         assert docs.columns == spark.read.parquet(f"{odd}/documents.parquet").columns, name
     kept = {x.doc_id for x in corpus_pipeline.run(spark, odd).collect()}
     assert {1, 6, 7, 13, None} <= kept and not kept & {2, 9}
+
+
+def test_line_dedup_texts(spark, odd, tmp_path):
+    """The digests of the texts that op7 leaves, and its counts, against all pairs of lines."""
+    near = PLAIN.replace(PLAIN.split()[7], "qq", 1)
+    more = [
+        (20, f"\n \t\n{near}\r\n{near}\n\x0b\nnew\tline  here \n", "en", "a", 9), (21, f"{PLAIN}  \n{near} zz", "en", "a", 9), (22, f"\n{PLAIN}\n\n", "en", "a", 9),
+        (23, "new line here\nlast\n\xa0", "en", "a", 9), (24, " ".join(PLAIN.split()[1:]) + "\nsame line here\nnew line  here", "en", "a", 9),
+    ]
+    folder = str(tmp_path / "tables")
+    _put(spark, folder, {"documents": DOCUMENTS + more})
+
+    def is_near(a, b):
+        if len(a) == len(b) >= 8:
+            return sum(x != y for x, y in zip(a, b)) <= 1
+        short, long = sorted((a, b), key=len)
+        return len(short) >= 8 and len(long) == len(short) + 1 and any(long[:k] + long[k + 1 :] == short for k in range(len(long)))
+
+    for where, documents in ((odd, DOCUMENTS), (folder, DOCUMENTS + more)):
+        seen, want = [], []
+        for i, t, *_ in sorted(documents, key=lambda r: (r[0] is None, r[0] or 0)):
+            left, n_lines, n_near, n_kept = [], 0, 0, 0
+            for line in (t or "").split("\n"):
+                w = re.findall(r"[^\x20\x09-\x0D]+", line)
+                n_lines += bool(w)
+                if w and w in seen:
+                    continue
+                goes = bool(w) and any(is_near(v, w) for v in seen)
+                n_near += goes
+                n_kept += bool(w) and not goes
+                if w:
+                    seen.append(w)
+                if not goes:
+                    left.append(line)
+            want.append((i, n_lines, n_near, n_kept, hashlib.sha256("\n".join(left).encode()).hexdigest()))
+        got = [tuple(x) for x in QUERIES["op7_line_dedup"](spark, where).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        assert sum(x[2] for x in want) == (0 if where == odd else 3)

@@ -13,6 +13,8 @@ bound, stands earlier (by doc_id, row, line number) anywhere in the corpus. Blan
    as a variant. The hash of a variant adds up two word hashes, so running sums give all variants of a line in linear time.
 4. Equal variants are joined with the earliest line of the key only, never pair by pair, and verified word by word.
    Keys have 128 bits, so that no other line takes the earliest one's place at a key.
+5. Every text is written anew without the lines that go: the lines that stay are brought together by row, and a text that loses
+   lines is cut at them, in time linear in its lines; a text that loses none stays as it is.
 """
 
 from __future__ import annotations
@@ -27,14 +29,22 @@ MASK = (1 << 40) - 1
 
 
 def normalised(line: Column) -> Column:
-    """Each run of white space as one space, none at the ends. Single spaces, nearly all, are no match and cost no copy."""
-    return F.trim(F.regexp_replace(line, f"{SPACE}{{2,}}|[\\x09-\\x0D]", " "))
+    """Each run of white space as one space, none at the ends. Lines with single spaces only, nearly all, see no pattern."""
+    odd = line.contains("  ")
+    for c in "\t\n\x0b\x0c\r":
+        odd = odd | line.contains(c)
+    return F.trim(F.when(odd, F.regexp_replace(line, f"{SPACE}{{2,}}|[\\x09-\\x0D]", " ")).otherwise(line))
+
+
+def has_words(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r")) != ""
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(row, doc_id, pos, line): the lines of each row of docs that aren't blank, normalised."""
     each = docs.select("row", "doc_id", F.posexplode(F.split(text_or_empty(), "\n", -1)).alias("pos", "line"))
-    return each.withColumn("line", normalised(F.col("line"))).filter("line <> ''")
+    # The test of the line as it is: one of the normalised line would be pushed down and normalise each line twice.
+    return each.filter(has_words(F.col("line"))).withColumn("line", normalised(F.col("line")))
 
 
 def half_keys(line: Column, n: Column) -> list[Column]:
@@ -144,26 +154,37 @@ def line_dedup(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[DataFra
     return rows, lines, found.select("line_id", "place").join(near, "line_id", "left").withColumn("near", F.coalesce("near", F.lit(False)))
 
 
+def left_texts(rows: DataFrame, lines: DataFrame, kept: DataFrame) -> DataFrame:
+    """(row, doc_id, text, n_lines, n_near, n_kept) of each row of :func:`line_dedup`'s result: text is what is left of the text.
+
+    Blank lines and the lines that stay are as they were, joined by line feeds; a text without any is empty.
+    """
+    none, zero = F.lit(None).cast("int"), F.lit(0).cast("long")
+    parts = lines.groupBy("row").agg(F.count(F.lit(1)).alias("n_lines")).select("row", "n_lines", zero.alias("n_near"), none.alias("stay"))
+    first = kept.select(F.col("place.row").alias("row"), zero.alias("n_lines"), F.col("near").cast("long").alias("n_near"), F.when(~F.col("near"), F.col("place.pos")).alias("stay"))
+    found = parts.unionByName(first).groupBy("row").agg(F.sum("n_lines").alias("n_lines"), F.sum("n_near").alias("n_near"), F.collect_list("stay").alias("stays"))
+    out = rows.select("row", "doc_id", text_or_empty().alias("text")).join(found, "row", "left")
+    counts = [F.coalesce("n_lines", zero).alias("n_lines"), F.coalesce("n_near", zero).alias("n_near"), F.coalesce(F.size("stays").cast("long"), zero).alias("n_kept")]
+    out = out.select("row", "doc_id", "text", "stays", *counts)
+    # Each step is a projection of its own and names the arrays twice, so that none is computed for each line anew.
+    out = out.withColumn("pieces", F.when(F.col("n_kept") < F.col("n_lines"), F.split("text", "\n", -1)))
+    filled = F.filter(F.transform("pieces", lambda x, i: F.when(has_words(x), i)), lambda i: i.isNotNull())
+    out = out.withColumn("gone", F.array_except(filled, F.col("stays")))
+    runs = F.arrays_zip(F.concat(F.array(F.lit(0)), F.transform("gone", lambda i: i + 1)).alias("a"), F.concat(F.col("gone"), F.array(F.size("pieces"))).alias("b"))
+    left = F.flatten(F.transform(runs, lambda r: F.slice("pieces", r["a"] + 1, r["b"] - r["a"])))
+    left = F.when(F.col("pieces").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return out.select("row", "doc_id", left.alias("text"), "n_lines", "n_near", "n_kept")
+
+
 def deduplicated(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, text) of each row without the lines that go; blank lines and the others stay as they are."""
-    rows, _, kept = line_dedup(docs, least_words)
-    stays = kept.filter("NOT near").groupBy(F.col("place.row").alias("row")).agg(F.collect_list("place.pos").alias("stays"))
-    out = rows.join(stays, "row", "left").withColumn("stays", F.coalesce("stays", F.array().cast("array<int>")))
-    numbered = F.transform(F.split(text_or_empty(), "\n", -1), lambda x, i: F.struct(x.alias("line"), i.alias("i")))
-    left = F.filter(numbered, lambda x: (normalised(x["line"]) == "") | F.array_contains(F.col("stays"), x["i"]))
-    return out.select("doc_id", F.array_join(F.transform(left, lambda x: x["line"]), "\n").alias("text"))
+    return left_texts(*line_dedup(docs, least_words)).select("doc_id", "text")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_lines (not blank), n_near (first occurrences that go for an earlier near line), n_kept."""
-    rows, lines, kept = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    # One aggregation by row for the rows themselves, their lines and their first occurrences.
-    parts = rows.select("row", "doc_id", zero.alias("n_lines"), zero.alias("n_near"), zero.alias("n_kept"))
-    parts = parts.unionByName(lines.groupBy("row").agg(F.count(F.lit(1)).alias("n_lines")).select("row", F.lit(None).cast("long").alias("doc_id"), "n_lines", zero.alias("n_near"), zero.alias("n_kept")))
-    parts = parts.unionByName(kept.select(F.col("place.row").alias("row"), F.lit(None).cast("long").alias("doc_id"), zero.alias("n_lines"), F.when(F.col("near"), one).otherwise(zero).alias("n_near"), F.when(F.col("near"), zero).otherwise(one).alias("n_kept")))
-    out = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_lines").alias("n_lines"), F.sum("n_near").alias("n_near"), F.sum("n_kept").alias("n_kept"))
-    return out.drop("row")
+    """Per document: doc_id, n_lines (not blank), n_near (first occurrences that go for an earlier near line), n_kept, kept_sha256 (of the text left)."""
+    out = left_texts(*line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return out.select("doc_id", "n_lines", "n_near", "n_kept", F.sha2("text", 256).alias("kept_sha256"))
 
 
 OP7_SQL = r"""
@@ -183,7 +204,13 @@ near AS (
 ), first_places AS (
   SELECT u.place.d AS doc_id, count(*) FILTER (WHERE near.line IS NOT NULL) AS n_near, count(*) FILTER (WHERE near.line IS NULL) AS n_kept
   FROM u LEFT JOIN near USING (line) GROUP BY 1
-), n AS (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY doc_id)
-SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CAST(coalesce(n_kept, 0) AS BIGINT) AS n_kept
-FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN first_places USING (doc_id)
+), n AS (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY doc_id),
+stays AS (
+  SELECT u.place.d AS doc_id, u.place.p AS pos FROM u WHERE line NOT IN (SELECT line FROM near)
+  UNION ALL
+  SELECT doc_id, pos FROM d WHERE NOT regexp_matches(raw, '[^\x20\x09-\x0D]')
+), left_texts AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY pos) AS text_left FROM d JOIN stays USING (doc_id, pos) GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CAST(coalesce(n_kept, 0) AS BIGINT) AS n_kept,
+  sha256(coalesce(text_left, '')) AS kept_sha256
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN first_places USING (doc_id) LEFT JOIN left_texts USING (doc_id)
 """
