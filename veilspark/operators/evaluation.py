@@ -5,15 +5,19 @@ gold (case_id, label, text, start, end: null where unknown), predicted (case_id,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import islice, takewhile
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
-
-def text_norm(t: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(t, r"(?U)\s+", " ")))
+from veilspark.plans.staging import ship, tasks_for
 
 
 def prf(counts: DataFrame) -> DataFrame:
@@ -32,20 +36,38 @@ def restrict(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     return predicted.join(gold.select("case_id", "label").distinct(), ["case_id", "label"], "left_semi")
 
 
-def _totals(per_label: DataFrame) -> DataFrame:
-    """Per case and label, and per case (label null)."""
-    sums = [F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn")]
-    return prf(per_label.groupingSets([["case_id", "label"], ["case_id"]], "case_id", "label").agg(*sums))
+def tagged(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Both as one table, with i (the order within a case and label: the column i, or else the start) and gold, which tells them apart."""
 
+    def side(df: DataFrame, gold: bool) -> DataFrame:
+        i = F.col("i") if "i" in df.columns else F.coalesce("start", F.lit(0))
+        return df.select("case_id", "label", "text", F.col("start").cast("long"), F.col("end").cast("long"), i.cast("long").alias("i"), F.lit(gold).alias("gold"))
 
-def evaluate_exact(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Multiset intersection of (label, start, end); gold without offsets matches nothing."""
-    where = F.when(F.col("start").isNotNull(), F.concat_ws("-", "start", "end")).otherwise(F.concat(F.lit("t:"), text_norm(F.col("text"))))
-    g = gold.withColumn("k", where).groupBy("case_id", "label", "k").agg(F.count(F.lit(1)).alias("g"))
-    p = predicted.withColumn("k", F.concat_ws("-", "start", "end")).groupBy("case_id", "label", "k").agg(F.count(F.lit(1)).alias("p"))
-    both = g.join(p, ["case_id", "label", "k"], "full").na.fill(0, ["g", "p"])
-    tp = F.least("g", "p")
-    return _totals(both.select("case_id", "label", tp.alias("tp"), (F.col("p") - tp).alias("fp"), (F.col("g") - tp).alias("fn")))
+    return side(gold, True).unionByName(side(predicted, False))
+
+
+def _totals(per_label: DataFrame) -> DataFrame:
+    """Per case and label, and per case (label null), from a row for each case and label, dealt by case: the last label's running sums are the case's."""
+    kind, by_label = per_label.schema["label"].dataType, Window.partitionBy("case_id").orderBy("label")
+    so_far = by_label.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.struct("label", "tp", "fp", "fn")
+    whole = F.struct(F.lit(None).cast(kind).alias("label"), *(F.sum(c).over(so_far).alias(c) for c in ("tp", "fp", "fn")))
+    rows = per_label.select("case_id", own.alias("own"), whole.alias("whole"), F.lead(F.lit(1)).over(by_label).isNull().alias("last"))
+    return prf(rows.select("case_id", F.explode(F.when(F.col("last"), F.array("own", "whole")).otherwise(F.array("own"))).alias("m")).select("case_id", "m.*"))
+
+
+def _exact(spans: DataFrame, tasks: int) -> DataFrame:
+    """Equal spans meet in one task, those of a long case by stretches of its text, so that neither a case nor a label has to fit one."""
+    placed = F.col("start").isNotNull() & F.col("end").isNotNull() & F.col("case_id").isNotNull() & F.col("label").isNotNull()
+    far = F.coalesce(F.shiftright("start", 16), F.lit(0)).alias("far")
+    one = lambda c, name: F.when(c, 1).otherwise(0).alias(name)
+    sums = lambda *names: [F.sum(c).alias(c) for c in names]
+    rows = spans.select("case_id", "label", far, "start", "end", one(F.col("gold"), "g"), one(~F.col("gold"), "p")).repartition(tasks, "case_id", "label", "far")
+    met = rows.groupBy("case_id", "label", "far", "start", "end").agg(*sums("g", "p"))
+    tp = F.when(placed, F.least("g", "p")).otherwise(0)
+    found = met.select("case_id", "label", "far", tp.alias("tp"), (F.col("p") - tp).alias("fp"), (F.col("g") - tp).alias("fn"))
+    stretches = found.groupBy("case_id", "label", "far").agg(*sums("tp", "fp", "fn"))
+    return stretches.repartition(tasks, "case_id").groupBy("case_id", "label").agg(*sums("tp", "fp", "fn"))
 
 
 def overlap_candidates(gold: DataFrame, predicted: DataFrame, least_iou: float = 0.5) -> DataFrame:
@@ -57,83 +79,165 @@ def overlap_candidates(gold: DataFrame, predicted: DataFrame, least_iou: float =
     return pairs.withColumn("iou", common / (F.greatest("ge", "pe") - F.least("gs", "ps"))).filter(F.col("iou") >= least_iou)
 
 
+@lru_cache(4096)
+def _norm(t: str) -> str:
+    return " ".join(t.split()).casefold()
+
+
+@lru_cache(4096)
+def _core(t: str) -> str:
+    return "".join(c for c in t if c.isdigit() or c == "-")
+
+
+def _same(a: str, b: str) -> bool:
+    """Of two normalised texts."""
+    if not a or not b:
+        return False
+    if a == b:
+        return True
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    if len(short) >= 4 and short in long:
+        return True
+    x, y = _core(a), _core(b)
+    if len(x) > len(y):
+        x, y = y, x
+    return len(x) >= 8 and x in y
+
+
+#: A span in Python: start, end, text.
+Span = tuple[int | None, int | None, str]
+
+
+def _iou(g: Span, p: Span) -> float:
+    """Gold without offsets counts by its text."""
+    if g[0] is None or g[1] is None:
+        return float(_norm(g[2]) == _norm(p[2]))
+    if p[0] is None or p[1] is None:
+        return 0.0
+    common = min(g[1], p[1]) - max(g[0], p[0])
+    return common / (max(g[1], p[1]) - min(g[0], p[0])) if common > 0 else 0.0
+
+
+def _overlapping(gold: list[Span], predicted: list[Span], least_iou: float) -> int:
+    """Pairs of the greedy matching by intersection over union, best first; of equal ones the last.
+
+    Only predictions that can reach least_iou are looked at: they start before the gold span's end, and at most its length / least_iou before it.
+    """
+    by_start = sorted((p[0], j) for j, p in enumerate(predicted) if p[0] is not None and p[1] is not None)
+    longest = max((predicted[j][1] - s for s, j in by_start), default=0)
+    pairs = []
+    for i, g in enumerate(gold):
+        near: Iterable[int] = range(len(predicted))
+        if least_iou > 0 and g[0] is not None and g[1] is not None:
+            at = bisect_left(by_start, (max(g[0] - longest, g[1] - int((g[1] - g[0]) / least_iou) - 2),))
+            near = (j for _, j in takewhile(lambda x: x[0] < g[1], islice(by_start, at, None)))
+        pairs += [(iou, i, j) for j in near if (iou := _iou(g, predicted[j])) >= least_iou]
+    if len(pairs) < 2:
+        return len(pairs)
+    used_g, used_p = set(), set()
+    for _, i, j in sorted(pairs, reverse=True):
+        if i not in used_g and j not in used_p:
+            used_g.add(i)
+            used_p.add(j)
+    return len(used_g)
+
+
+def _saying(gold: list[Span], predicted: list[Span]) -> int:
+    """Gold spans that find a prediction of the same text, longest gold first; each takes the longest, of equal ones the first."""
+    if len(gold) == len(predicted) == 1:
+        return int(_same(_norm(gold[0][2]), _norm(predicted[0][2])))
+    left = {j: _norm(p[2]) for j, p in sorted(enumerate(predicted), key=lambda x: -len(x[1][2]))}
+    found = 0
+    for text in sorted((g[2] for g in gold), key=lambda t: -len(t)):
+        said = _norm(text)
+        j = next((j for j, other in left.items() if _same(said, other)), None)
+        if j is not None:
+            del left[j]
+            found += 1
+    return found
+
+
 def _greedy(kind: str, least_iou: float):
-    """Match one case and label: a handful of spans, so a Python loop over them is enough."""
-    norm = lambda t: " ".join(str(t).split()).casefold()
-    core = lambda t: "".join(c for c in t if c.isdigit() or c == "-")
-
-    def same(a: str, b: str) -> bool:
-        a, b = norm(a), norm(b)
-        if not a or not b:
-            return False
-        short, long = sorted((a, b), key=len)
-        if a == b or len(short) >= 4 and short in long:
-            return True
-        x, y = sorted((core(a), core(b)), key=len)
-        return len(x) >= 8 and x in y
-
-    def iou(g: dict, p: dict) -> float:
-        if g["start"] is None or g["end"] is None:
-            return float(norm(g["text"]) == norm(p["text"]))
-        common = min(g["end"], p["end"]) - max(g["start"], p["start"])
-        return common / (max(g["end"], p["end"]) - min(g["start"], p["start"])) if common > 0 else 0.0
-
-    def counts(g: list[dict], p: list[dict]) -> tuple[int, int, int]:
-        used_g: set[int] = set()
-        used_p: set[int] = set()
-        if kind == "overlap":
-            pairs = sorted(((iou(x, y), i, j) for i, x in enumerate(g) for j, y in enumerate(p)), reverse=True)
-            for score, i, j in pairs:
-                if score >= least_iou and i not in used_g and j not in used_p:
-                    used_g.add(i)
-                    used_p.add(j)
-        else:
-            for i in sorted(range(len(g)), key=lambda i: -len(g[i]["text"])):
-                fits = [j for j in range(len(p)) if j not in used_p and same(g[i]["text"], p[j]["text"])]
-                if fits:
-                    used_g.add(i)
-                    used_p.add(max(fits, key=lambda j: (len(p[j]["text"]), -j)))
-        return len(used_g), len(p) - len(used_p), len(g) - len(used_g)
-
-    @F.arrow_udf("struct<tp:bigint,fp:bigint,fn:bigint>")
-    def match(gold: pa.Array, predicted: pa.Array) -> pa.Array:
-        order = lambda spans: sorted(spans or (), key=lambda s: s["i"])
-        found = [counts(order(g), order(p)) for g, p in zip(gold.to_pylist(), predicted.to_pylist(), strict=True)]
-        return pa.StructArray.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], names=["tp", "fp", "fn"])
+    """Over rows sorted by case, label, gold first and order: a row of counts for each case and label."""
+    matched = _saying if kind == "label_text" else lambda g, p: _overlapping(g, p, least_iou)
+    names = ("case_id", "label", "tp", "fp", "fn")
+
+    def firsts(rows: pa.Table) -> np.ndarray:
+        """Where a case and label begins."""
+        new = np.ones(rows.num_rows, bool)
+        new[1:] = False
+        for name in ("case_id", "label"):
+            c = rows[name].combine_chunks()
+            a, b = c[1:], c[:-1]
+            new[1:] |= pc.fill_null(pc.not_equal(a, b), True).to_numpy(zero_copy_only=False) & ~(pc.is_null(a).to_numpy(zero_copy_only=False) & pc.is_null(b).to_numpy(zero_copy_only=False))
+        return np.flatnonzero(new)
+
+    def counted(rows: pa.Table) -> pa.RecordBatch:
+        at = firsts(rows)
+        n = np.diff(np.append(at, rows.num_rows))
+        g = np.add.reduceat(rows["gold"].to_numpy().astype(np.int64), at)
+        tp = np.zeros(len(at), np.int64)
+        case_id, label = (rows[c].combine_chunks().take(pa.array(at)) for c in ("case_id", "label"))
+        known = ~(pc.is_null(case_id).to_numpy(zero_copy_only=False) | pc.is_null(label).to_numpy(zero_copy_only=False))
+        spans = list(zip(*(rows[c].to_pylist() if rows[c].null_count else rows[c].to_numpy().tolist() for c in ("start", "end", "text")), strict=True))
+        for k in np.flatnonzero((g > 0) & (g < n) & known).tolist():
+            tp[k] = matched(spans[at[k] : at[k] + g[k]], spans[at[k] + g[k] : at[k] + n[k]])
+        return pa.RecordBatch.from_arrays([case_id, label, *map(pa.array, (tp, n - g - tp, g - tp))], names=names)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the case and label that goes on
+        for b in batches:
+            if not b.num_rows:
+                continue
+            seam = [held[-1].slice(held[-1].num_rows - 1), b] if held else [b]
+            last = int(firsts(pa.Table.from_batches(seam))[-1]) - bool(held)
+            if last < 0 or not held and not last:  # all of it goes on
+                held.append(b)
+                continue
+            yield counted(pa.Table.from_batches([*held, b.slice(0, last)]))
+            held = [b.slice(last)]
+        if held:
+            yield counted(pa.Table.from_batches(held))
 
     return match
 
 
-def _evaluate_greedy(gold: DataFrame, predicted: DataFrame, kind: str, least_iou: float) -> DataFrame:
-    """Matching never crosses labels, so a case's labels are matched apart: one row with both lists for each, many rows to an Arrow batch. Order: by start, or i."""
+def _matched(spans: DataFrame, kind: str, least_iou: float, tasks: int) -> DataFrame:
+    """Matching never crosses labels, so a case's labels are matched apart, as a sorted stream: one case and label in memory at a time."""
+    ship(spans.sparkSession)
+    rows = spans.withColumn("text", F.coalesce("text", F.lit(""))).repartition(tasks, "case_id", "label")
+    rows = rows.sortWithinPartitions("case_id", "label", F.desc("gold"), "i", "start", "end", "text")
+    counts = StructType([rows.schema["case_id"], rows.schema["label"]]).add("tp", LongType()).add("fp", LongType()).add("fn", LongType())
+    return rows.mapInArrow(_greedy(kind, least_iou), counts).repartition(tasks, "case_id")
 
-    def listed(df: DataFrame, name: str) -> DataFrame:
-        i = F.col("i") if "i" in df.columns else F.coalesce("start", F.lit(0))
-        one = F.struct(F.coalesce("text", F.lit("")).alias("text"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), i.cast("long").alias("i"))
-        return df.groupBy("case_id", "label").agg(F.collect_list(one).alias(name))
 
-    both = listed(gold, "gold").join(listed(predicted, "predicted"), ["case_id", "label"], "full")
-    return _totals(both.select("case_id", "label", _greedy(kind, least_iou)("gold", "predicted").alias("m")).select("case_id", "label", "m.*"))
+def evaluate_exact(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Multiset intersection of (label, start, end); gold without offsets matches nothing."""
+    return evaluate_tagged(tagged(gold, predicted), "exact")
 
 
 def evaluate_overlap(gold: DataFrame, predicted: DataFrame, least_iou: float = 0.5) -> DataFrame:
-    return _evaluate_greedy(gold, predicted, "overlap", least_iou)
+    return evaluate_tagged(tagged(gold, predicted), "overlap", least_iou)
 
 
 def evaluate_label_text(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    return _evaluate_greedy(gold, predicted, "label_text", 0.5)
+    return evaluate_tagged(tagged(gold, predicted), "label_text")
+
+
+def evaluate_tagged(spans: DataFrame, mode: str, least_iou: float = 0.5) -> DataFrame:
+    """Gold and predictions in one table (see :func:`tagged`): a source of both is read once."""
+    tasks = tasks_for(spans)
+    if mode == "exact":
+        return _totals(_exact(spans, tasks))
+    if mode in ("overlap", "label_text"):
+        return _totals(_matched(spans, mode, least_iou, tasks))
+    raise ValueError(f"unknown mode {mode!r}")
 
 
 def evaluate(gold: DataFrame, predicted: DataFrame, mode: str = "label_text", gold_labels_only: bool = False, least_iou: float = 0.5) -> DataFrame:
     if gold_labels_only:
         predicted = restrict(predicted, gold)
-    if mode == "exact":
-        return evaluate_exact(gold, predicted)
-    if mode == "overlap":
-        return evaluate_overlap(gold, predicted, least_iou)
-    if mode == "label_text":
-        return evaluate_label_text(gold, predicted)
-    raise ValueError(f"unknown mode {mode!r}")
+    return evaluate_tagged(tagged(gold, predicted), mode, least_iou)
 
 
 def gates(metrics: DataFrame, cases: DataFrame) -> DataFrame:

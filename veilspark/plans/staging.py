@@ -39,3 +39,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared.rstrip('/')}/veilspark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of input for each task of a shuffle, and the most tasks, as a shuffle's blocks grow with their square.
+TASK_BYTES, MOST_TASKS = 4 << 20, 4096
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Tasks for a shuffle of what df reads, so that a task's share stays the same as the input grows; by its files' sizes, without a job.
+
+    Where these aren't known, the session's number.
+    """
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    if size >= 1 << 60:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(spark.sparkContext.defaultParallelism, min(-(-size // TASK_BYTES), MOST_TASKS))

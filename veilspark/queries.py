@@ -16,12 +16,13 @@ from veilspark.functions.names import person_canonical, surname_key
 from veilspark.functions.spans import SPAN, merge_persons, resolve, span
 from veilspark.operators.context import thresholds
 from veilspark.operators.detect import exploded, with_spans
-from veilspark.operators.evaluation import evaluate, overlap_candidates
+from veilspark.operators.evaluation import evaluate, evaluate_tagged, overlap_candidates
 from veilspark.operators.mapping import build_mapping, mapping_stats, pseudonymise, registrations, restore
 from veilspark.operators.masking import dictionary_rewrite, first_wins_mapping, legend, mask_generic, placeholders_in
 from veilspark.operators.recognizers import RECOGNIZERS
 from veilspark.plans.config import PiiConfig
 from veilspark.plans.pipeline import enrich_generic, process, process_batch, with_report
+from veilspark.plans.staging import tasks_for
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -201,8 +202,9 @@ def label_dimension(spark, sf_dir):
 
 
 def _lines(spark, sf_dir):
-    """One row for each order and line number."""
-    l = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber")
+    """One row for each order and line number; few share one, so rows are dealt out before they are grouped, to tasks by the table's size."""
+    l = _t(spark, sf_dir, "lineitem")
+    l = l.repartition(tasks_for(l), "l_orderkey", "l_linenumber").groupBy("l_orderkey", "l_linenumber")
     return l.agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"), F.min("l_discount").alias("l_discount"))
 
 
@@ -337,14 +339,22 @@ def document_stats(spark, sf_dir):
 # --- evaluation --------------------------------------------------------------------------------------------------
 
 
+def _label():
+    return F.element_at(F.array(*map(F.lit, ("EMAIL_ADDRESS", "PERSON", "RU_INN"))), (F.col("l_linenumber") % 3 + 1).cast("int")).alias("label")
+
+
+def _side(gold, text, start):
+    """A gold span or a prediction of a line, for a table in which both stand."""
+    start = start.cast("long")
+    return F.struct(text.alias("text"), start.alias("start"), (start + 10).alias("end"), start.alias("i"), F.lit(gold).alias("gold"))
+
+
 def _gold_and_predicted(spark, sf_dir):
-    l = _lines(spark, sf_dir)
-    label = F.element_at(F.array(*map(F.lit, ("EMAIL_ADDRESS", "PERSON", "RU_INN"))), (F.col("l_linenumber") % 3 + 1).cast("int"))
-    start = (F.col("l_linenumber") * 20).cast("int")
-    gold = l.select(F.col("l_orderkey").cast("string").alias("case_id"), label.alias("label"), F.lit("x").alias("text"), start.alias("start"), (start + 10).alias("end"))
-    moved = (start + F.col("l_partkey") % 7).cast("int")
-    predicted = l.filter("l_suppkey % 4 <> 0").select(F.col("l_orderkey").cast("string").alias("case_id"), label.alias("label"), F.lit("x").alias("text"), moved.alias("start"), (moved + 10).alias("end"))
-    return gold, predicted
+    """Both from one pass over the lines."""
+    start = F.col("l_linenumber") * 20
+    gold, predicted = _side(True, F.lit("x"), start), _side(False, F.lit("x"), start + F.col("l_partkey") % 7)
+    sides = F.when(F.col("l_suppkey") % 4 != 0, F.array(gold, predicted)).otherwise(F.array(gold))
+    return _lines(spark, sf_dir).select(F.col("l_orderkey").cast("string").alias("case_id"), _label(), F.explode(sides).alias("e")).select("case_id", "label", "e.*")
 
 
 _GP = f"""g AS (SELECT CAST(l_orderkey AS VARCHAR) AS case_id, CASE l_linenumber % 3 WHEN 0 THEN 'EMAIL_ADDRESS' WHEN 1 THEN 'PERSON' ELSE 'RU_INN' END AS label, l_linenumber * 20 AS s, l_linenumber * 20 + 10 AS t FROM {_ONE_LINE}),
@@ -358,13 +368,15 @@ _PRF = """SELECT case_id, label, tp, fp, fn, round(pr, 4) AS precision, round(re
 c AS (SELECT case_id, label, least(coalesce(n, 0), coalesce(k, 0)) AS tp, coalesce(k, 0) - least(coalesce(n, 0), coalesce(k, 0)) AS fp, coalesce(n, 0) - least(coalesce(n, 0), coalesce(k, 0)) AS fn FROM a FULL JOIN b USING (case_id, label, s, t))
 {_PRF}""")
 def eval_exact(spark, sf_dir):
-    return evaluate(*_gold_and_predicted(spark, sf_dir), mode="exact")
+    return evaluate_tagged(_gold_and_predicted(spark, sf_dir), "exact")
 
 
 @query(f"""WITH {_GP} SELECT g.case_id, g.label, CAST(g.s AS INT) AS gs, CAST(p.s AS INT) AS ps, round((least(g.t, p.t) - greatest(g.s, p.s)) / (greatest(g.t, p.t) - least(g.s, p.s)), 6) AS iou
 FROM g JOIN p ON g.case_id = p.case_id AND g.label = p.label AND g.s < p.t AND g.t > p.s WHERE (least(g.t, p.t) - greatest(g.s, p.s)) / (greatest(g.t, p.t) - least(g.s, p.s)) >= 0.5""")
 def eval_overlap_candidates(spark, sf_dir):
-    return overlap_candidates(*_gold_and_predicted(spark, sf_dir)).select("case_id", "label", "gs", "ps", F.round("iou", 6).alias("iou"))
+    spans = _gold_and_predicted(spark, sf_dir)
+    found = overlap_candidates(spans.filter("gold"), spans.filter("NOT gold"))
+    return found.select("case_id", "label", F.col("gs").cast("int"), F.col("ps").cast("int"), F.round("iou", 6).alias("iou"))
 
 
 @query(f"""WITH {_GP}, a AS (SELECT case_id, label, count(*) AS n FROM g GROUP BY ALL), b AS (SELECT case_id, label, count(*) AS k FROM p GROUP BY ALL),
@@ -373,7 +385,8 @@ c AS (SELECT case_id, label, coalesce(tp, 0) AS tp, coalesce(k, 0) - coalesce(tp
 {_PRF}""")
 def eval_overlap(spark, sf_dir):
     """The derived spans overlap one another only within a line, so the greedy matching has a closed form."""
-    return evaluate(*_gold_and_predicted(spark, sf_dir), mode="overlap")
+    spans = _gold_and_predicted(spark, sf_dir)
+    return evaluate(spans.filter("gold"), spans.filter("NOT gold"), mode="overlap")
 
 
 _item = lambda: F.concat(F.lit("item "), F.col("l_linenumber"))
