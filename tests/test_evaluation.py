@@ -104,3 +104,11 @@ def scans(spark, name):
 
 def test_exact_evaluation_reads_the_lines_once(spark):
     assert scans(spark, "eval_exact") == 1
+
+
+def test_overlap_matching_is_dealt_by_the_size_of_the_input(spark, tmp_path, monkeypatch, few_rows):
+    agrees_in_tasks_by_size(spark, tmp_path, monkeypatch, "overlap")
+
+
+def test_overlap_evaluation_reads_the_lines_once(spark):
+    assert scans(spark, "eval_overlap") == 1

@@ -385,8 +385,7 @@ c AS (SELECT case_id, label, coalesce(tp, 0) AS tp, coalesce(k, 0) - coalesce(tp
 {_PRF}""")
 def eval_overlap(spark, sf_dir):
     """The derived spans overlap one another only within a line, so the greedy matching has a closed form."""
-    spans = _gold_and_predicted(spark, sf_dir)
-    return evaluate(spans.filter("gold"), spans.filter("NOT gold"), mode="overlap")
+    return evaluate_tagged(_gold_and_predicted(spark, sf_dir), "overlap")
 
 
 _item = lambda: F.concat(F.lit("item "), F.col("l_linenumber"))
