@@ -112,3 +112,11 @@ def test_overlap_matching_is_dealt_by_the_size_of_the_input(spark, tmp_path, mon
 
 def test_overlap_evaluation_reads_the_lines_once(spark):
     assert scans(spark, "eval_overlap") == 1
+
+
+def test_label_text_matching_is_dealt_by_the_size_of_the_input(spark, tmp_path, monkeypatch, few_rows):
+    agrees_in_tasks_by_size(spark, tmp_path, monkeypatch, "label_text")
+
+
+def test_label_text_evaluation_reads_the_lines_once(spark):
+    assert scans(spark, "eval_label_text") == 1

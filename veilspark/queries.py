@@ -16,7 +16,7 @@ from veilspark.functions.names import person_canonical, surname_key
 from veilspark.functions.spans import SPAN, merge_persons, resolve, span
 from veilspark.operators.context import thresholds
 from veilspark.operators.detect import exploded, with_spans
-from veilspark.operators.evaluation import evaluate, evaluate_tagged, overlap_candidates
+from veilspark.operators.evaluation import evaluate_tagged, overlap_candidates
 from veilspark.operators.mapping import build_mapping, mapping_stats, pseudonymise, registrations, restore
 from veilspark.operators.masking import dictionary_rewrite, first_wins_mapping, legend, mask_generic, placeholders_in
 from veilspark.operators.recognizers import RECOGNIZERS
@@ -396,12 +396,12 @@ c AS (SELECT case_id, label, CASE WHEN k < 2 THEN 1 ELSE 0 END AS tp, CASE WHEN
 {_PRF}""")
 def eval_label_text(spark, sf_dir):
     """A prediction of every gold item: with the same text in other white space and case, with words around it, or of something else."""
-    l = _lines(spark, sf_dir)
-    label = F.element_at(F.array(*map(F.lit, ("EMAIL_ADDRESS", "PERSON", "RU_INN"))), (F.col("l_linenumber") % 3 + 1).cast("int"))
     k = F.col("l_partkey") % 3
     said = F.when(k == 0, F.upper(F.replace(_item(), F.lit(" "), F.lit("  ")))).when(k == 1, F.concat(F.lit("the "), _item(), F.lit(" here"))).otherwise("else")
-    whole = lambda text: l.select(F.col("l_orderkey").cast("string").alias("case_id"), label.alias("label"), text.alias("text"), (F.col("l_linenumber") * 20).cast("int").alias("start"), (F.col("l_linenumber") * 20 + 10).cast("int").alias("end"))
-    return evaluate(whole(_item()), whole(said), mode="label_text")
+    start = F.col("l_linenumber") * 20
+    sides = F.array(_side(True, _item(), start), _side(False, said, start))
+    spans = _lines(spark, sf_dir).select(F.col("l_orderkey").cast("string").alias("case_id"), _label(), F.explode(sides).alias("e")).select("case_id", "label", "e.*")
+    return evaluate_tagged(spans, "label_text")
 
 
 # --- dictionaries and cells --------------------------------------------------------------------------------------
