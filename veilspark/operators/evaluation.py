@@ -74,7 +74,8 @@ def overlap_candidates(gold: DataFrame, predicted: DataFrame, least_iou: float =
     """Pairs of a case and label with an intersection over union of at least least_iou."""
     g = gold.select("case_id", "label", F.col("start").alias("gs"), F.col("end").alias("ge"), F.col("text").alias("gt"))
     p = predicted.select("case_id", "label", F.col("start").alias("ps"), F.col("end").alias("pe"), F.col("text").alias("pt"))
-    pairs = g.join(p, ["case_id", "label"]).filter((F.col("gs") < F.col("pe")) & (F.col("ge") > F.col("ps")))
+    tasks, keys = max(tasks_for(gold), tasks_for(predicted)), ["case_id", "label"]
+    pairs = g.repartition(tasks, *keys).join(p.repartition(tasks, *keys), keys).filter((F.col("gs") < F.col("pe")) & (F.col("ge") > F.col("ps")))
     common = F.least("ge", "pe") - F.greatest("gs", "ps")
     return pairs.withColumn("iou", common / (F.greatest("ge", "pe") - F.least("gs", "ps"))).filter(F.col("iou") >= least_iou)
 
